@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import quality
+from tarnfold.llm import mixing, quality, sharding
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, QueryFn]:
     return {
         "op1_quality": quality.op1_quality,
+        "op4_rendezvous": sharding.op4_rendezvous,
+        "op8_mix": mixing.op8_mix,
     }
 
 
