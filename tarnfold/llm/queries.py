@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import mixing, quality, sharding
+from tarnfold.llm import mixing, quality, secret_scan, sharding
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, QueryFn]:
         "op1_quality": quality.op1_quality,
         "op4_rendezvous": sharding.op4_rendezvous,
         "op8_mix": mixing.op8_mix,
+        "op10_secrets": secret_scan.op10_secrets,
     }
 
 
