@@ -110,3 +110,26 @@ def shingles(data: bytes, k: int = 5) -> np.ndarray:
     for j in range(min(k, len(h))):
         out = mix(out * _SALTS[j % 5] + h[j : j + n])
     return np.unique(out)
+
+
+def tokens(data: bytes) -> np.ndarray:
+    """Hash of each run of letters, digits and bytes beyond ASCII, A-Z taken as a-z; other signs only part them."""
+    got = []
+    for _, piece in _pieces(data):
+        a = np.frombuffer(piece, np.uint8)
+        inside = np.zeros(len(a) + 2, np.int8)
+        inside[1:-1] = _KIND[a] == 1
+        step = np.diff(inside)
+        got.append(_hashes(a, np.flatnonzero(step == 1), np.flatnonzero(step == -1), _LOWER))
+    return got[0] if len(got) == 1 else np.concatenate(got)
+
+
+def runs_of(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of ``k`` neighbours, in order; empty if there are fewer."""
+    n = len(h) - k + 1
+    if k < 1 or n < 1:
+        return np.empty(0, np.uint64)
+    out = np.full(n, np.uint64(k), np.uint64)
+    for j in range(k):
+        out = mix(out * _SALTS[j % 5] + h[j : j + n])
+    return out
