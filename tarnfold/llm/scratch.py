@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,9 +36,10 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that no returned frame reads any more."""
+        """Deletes tables that no frame in use reads any more, and lets Spark remove shuffle files left behind."""
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()  # lets Spark's cleaner remove shuffle files of frames that are no longer referenced
+        gc.collect()
+        jvm.System.gc()
