@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import decontamination, jaccard_join, license_scan, mixing, quality, secret_scan, sharding
+from tarnfold.llm import decontamination, jaccard_join, license_scan, mixing, quality, secret_scan, sharding, suffix_dedup
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, QueryFn]:
         "op4_rendezvous": sharding.op4_rendezvous,
         "op5_license": license_scan.op5_license,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_mix": mixing.op8_mix,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_secrets": secret_scan.op10_secrets,
