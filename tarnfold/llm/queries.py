@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import decontamination, jaccard_join, license_scan, mixing, neighbours, quality, secret_scan, sharding, suffix_dedup
+from tarnfold.llm import decontamination, jaccard_join, license_scan, mixing, neighbours, pii, quality, secret_scan, sharding, suffix_dedup
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, QueryFn]:
     return {
         "op1_quality": quality.op1_quality,
         "op2_neighbours": neighbours.op2_neighbours,
+        "op3_personal_data": pii.op3_personal_data,
         "op4_rendezvous": sharding.op4_rendezvous,
         "op5_license": license_scan.op5_license,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
