@@ -44,7 +44,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     rows = _numbered(docs)
     taken = mixing.mix(rows.select("doc_id", "source", "text", "_rid"), keep=("_rid",)).where("taken > 0")
-    copies = F.floor(F.col("taken") / F.col("size") + mixing.uniform("copy", F.col("doc_id"), F.col("_keep__rid")))
+    copies = F.floor(F.try_divide(F.col("taken"), F.col("size")) + mixing.uniform("copy", F.col("doc_id"), F.col("_keep__rid")))
     taken = taken.select(F.col("_keep__rid").alias("_taken"), copies.cast("int").alias("_copies")).where("_copies > 0")
     made = rows.join(taken, F.col("_rid") == F.col("_taken")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return made.select(*docs.columns)
