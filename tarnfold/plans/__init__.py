@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tarnfold.plans.registry import ORACLES, QUERIES, QueryFn
 
-from pyspark.sql import DataFrame, SparkSession
 
-QueryFn = Callable[[SparkSession, str], DataFrame]
+def _load() -> None:
+    from tarnfold.plans import mining, ordered, relational, texts  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)

@@ -1 +1,7 @@
+"""Scans and sinks with declared schemas."""
 
+from tarnfold.sources.readers import read_csv, read_json_documents, read_json_lines, read_rows, read_tsv, read_xml, table
+from tarnfold.sources.sinks import write_csv, write_json_lines, write_parquet, write_report, write_xml
+from tarnfold.sources.workspace import Workspace
+
+__all__ = ["Workspace", "read_csv", "read_json_documents", "read_json_lines", "read_rows", "read_tsv", "read_xml", "table", "write_csv", "write_json_lines", "write_parquet", "write_report", "write_xml"]
