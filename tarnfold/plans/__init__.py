@@ -6,7 +6,7 @@ from tarnfold.plans.registry import ORACLES, QUERIES, QueryFn
 
 
 def _load() -> None:
-    from tarnfold.plans import mining, ordered, relational, texts  # noqa: F401
+    from tarnfold.plans import clustering, graph, mining, ordered, recommend, relational, simulation, statistics, streams, texts  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
