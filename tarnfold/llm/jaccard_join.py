@@ -4,7 +4,8 @@
 2. Between unlike texts every Jaccard distance is 1, so pivots drawn from the whole corpus would tell nothing apart.
    The first pivots are therefore chosen through shared shingles: sets A and B with J(A, B) >= t share one of the first
    ``n - ceil(t n) + 1`` shingles of each, in any common order (rare ones first, by a corpus-wide count sketch). All
-   classes that hold such an anchor form a region around one of them, so each linked pair meets in a region.
+   classes that hold such an anchor form a region around one of them, so each linked pair meets in a region. Profiles
+   (shingle counts in buckets, which differ by no more than the sets) split regions that only share a passage.
 3. Distance to a pivot obeys the triangle inequality. In a region of more than ``LEAF`` members, ``PIVOTS`` members
    become pivots; a member's home is its nearest pivot p. With e = 1 - t, a partner y of a member x whose home is p has
    d(y, p) <= d(y, home of y) + 2 e: y is replicated into every cell within this window. Members with no pivot nearer
@@ -44,6 +45,9 @@ DEPTH = 6
 #: A cell with more than this share of its parent's members is joined in blocks.
 SHRINK = 0.7
 SKETCH_BITS = 22
+PROFILE = 128
+#: Larger regions go to the pivots without a look at the profiles.
+PRUNE = 4096
 _CHUNK_BITS = 16
 
 
@@ -56,6 +60,11 @@ def linked(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, pe
     return 100 * inter >= percent * (a + b - inter)
 
 
+def profile(s: np.ndarray) -> np.ndarray:
+    """Number of a set's shingles in each of PROFILE buckets, 255 at most; profiles differ by no more than the sets do."""
+    return np.minimum(np.bincount((s & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8)
+
+
 class Union:
     """Disjoint sets over small numbers."""
 
@@ -164,7 +173,7 @@ def describe(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndar
 
 
 def with_anchors(documents: DataFrame, logs: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """``cid, n, anchors, text``: a task's classes, each once, with their anchors."""
+    """``cid, n, anchors, text, profile``: a task's classes, each once."""
     shared = documents.sparkSession.sparkContext.broadcast(logs)  # 2**SKETCH_BITS bytes
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,10 +193,10 @@ def with_anchors(documents: DataFrame, logs: np.ndarray, percent: int = PERCENT)
                     anchors = s[order[:prefix]]
                 else:
                     anchors = s
-                out.append((cid, len(s), anchors.view(np.int64), text))
-            yield pd.DataFrame(out, columns=["cid", "n", "anchors", "text"])
+                out.append((cid, len(s), anchors.view(np.int64), text, profile(s).tobytes()))
+            yield pd.DataFrame(out, columns=["cid", "n", "anchors", "text", "profile"])
 
-    return documents.select(F.col("text").cast("binary").alias("text")).mapInPandas(read, "cid bigint, n bigint, anchors array<bigint>, text binary")
+    return documents.select(F.col("text").cast("binary").alias("text")).mapInPandas(read, "cid bigint, n bigint, anchors array<bigint>, text binary, profile binary")
 
 
 def _sorted_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -198,6 +207,41 @@ def _stream(f: Callable, schema: str, rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(f, schema)
 
 
+def prune(rows: DataFrame) -> DataFrame:
+    """Splits regions of at most PRUNE members by what profiles rule out: rows ``region, cid, n, profile`` to ``region, cid, n``.
+
+    Linked sets A, B differ in at most (|A| + |B|) / 9 shingles (for t = 0.8), their profiles in no more. Members that
+    no chain of such pairs connects go apart, lonely ones go; parts with the same members become one region.
+    """
+    t = PERCENT / 100
+    share = (1 - t) / (1 + t)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for_all = []
+        for _, group in _groups(batches, ["region"]):
+            once = list({r.cid: r for r in group}.values())
+            n = np.array([r.n for r in once], np.int64)
+            p = np.frombuffer(b"".join(r.profile for r in once), np.uint8).reshape(len(once), PROFILE).astype(np.int16)
+            near = Union(len(once))
+            for i in range(len(once) - 1):
+                differ = np.abs(p[i + 1 :] - p[i]).sum(axis=1)
+                for j in np.flatnonzero(differ <= share * (n[i + 1 :] + n[i]) + 1e-6):
+                    near.join(i, i + 1 + int(j))
+            parts: dict[int, list] = {}
+            for i, r in enumerate(once):
+                parts.setdefault(near.root(i), []).append(r)
+            for part in parts.values():
+                if len(part) > 1:
+                    region = class_id(np.array([r.cid for r in part], np.int64).view(np.uint64))
+                    for_all += [(region, r.cid, r.n) for r in part]
+            if len(for_all) > 10_000:
+                yield pd.DataFrame(for_all, columns=["region", "cid", "n"])
+                for_all = []
+        yield pd.DataFrame(for_all, columns=["region", "cid", "n"], dtype="int64")
+
+    return _stream(work, "region bigint, cid bigint, n bigint", _sorted_rows(rows, ["region"], ["cid"])).distinct()
+
+
 def join_leaves(rows: DataFrame) -> DataFrame:
     """Edges ``a, b`` of regions of bounded size: rows ``region, root, cid, side, text``, sides null unless blocks meet."""
 
@@ -330,14 +374,20 @@ def join(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     leaders = scratch.table(anchored.groupBy("anchor").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader <> last").select("anchor", "leader"), "leaders")
     scratch.drop()
     members = anchored.join(leaders, "anchor").select(F.col("leader").alias("region"), "cid", "n").distinct()
-    regions = scratch.table(members.withColumn("root", F.col("cid")).withColumn("was", F.lit(1 << 62)), "members")
-    scratch.drop("leaders")
-    found = join_regions(regions, classes.select("cid", "text"), scratch)
+    members = scratch.table(_sized(scratch.table(members, "shared")), "sized")
+    scratch.drop("leaders", "shared")
+    profiles = classes.select(F.col("cid").alias("_cid"), "profile")
+    pruned = prune(members.where(F.col("members") <= PRUNE).join(profiles, F.col("cid") == F.col("_cid")).select("region", "cid", "n", "profile"))
+    kept = scratch.table(pruned.unionByName(members.where(F.col("members") > PRUNE).select("region", "cid", "n")), "members")
+    texts = scratch.table(classes.select("cid", "text").join(kept.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "texts")
+    scratch.drop("classes", "sized")
+    regions = kept.withColumn("root", F.col("cid")).withColumn("was", F.lit(1 << 62))
+    found = join_regions(regions, texts, scratch)
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
     labels = connected_components(edges, scratch)
-    scratch.drop("classes", "members")
+    scratch.drop("texts", "members")
     first = described.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"))
     placed = first.join(labels, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     best = placed.groupBy("component").agg(F.min("first").alias("component_id"))

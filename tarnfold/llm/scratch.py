@@ -33,6 +33,7 @@ class Scratch:
         path = f"{self.root}/{name}"
         schema = df.schema
         df.write.option("compression", codec).mode("overwrite").parquet(path)
+        self._tidy()
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -41,5 +42,9 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._tidy()
+
+    def _tidy(self) -> None:
+        """Spark removes the shuffle files of frames that neither Python nor Java refers to any more."""
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
