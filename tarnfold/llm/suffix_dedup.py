@@ -39,8 +39,9 @@ WINDOW, GRAM = 400, 64
 REACH = WINDOW - GRAM
 LENGTH = 2 * REACH + GRAM
 BATCH = 4096
-LARGE = 8192
-PAD = 256
+LARGE = 65536
+#: No byte of UTF-8.
+PAD = 255
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = 1 << 20
 
@@ -99,7 +100,7 @@ def seeds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def induce(groups: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Starts of repeated strings: ``text`` has a row of LENGTH byte values (PAD outside) for each context, ``groups`` its seed.
+    """Starts of repeated strings: ``text`` has a column of LENGTH byte values (PAD outside) for each context, ``groups`` its seed.
 
     Returned: (contexts x REACH + 1) flags, true where the string starting at that column stands in another row of the
     same group at the same column.
@@ -108,10 +109,9 @@ def induce(groups: np.ndarray, text: np.ndarray) -> np.ndarray:
     out = np.zeros((g, REACH + 1), bool)
     order = np.argsort(groups, kind="stable")
     lcp = np.zeros(g, np.int64)
-    columns = np.ascontiguousarray(text.T)
     number = np.unique(groups, return_inverse=True)[1] * (PAD + 1)
-    for j in range(text.shape[1] - 1, -1, -1):
-        byte = columns[j][order]
+    for j in range(len(text) - 1, -1, -1):
+        byte = text[j][order]
         key = number[order] + byte
         to = np.argsort(key, kind="stable")
         sorted_key = key[to]
@@ -144,9 +144,9 @@ def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _matrix(contexts: list[bytes], lefts: list[int]) -> np.ndarray:
-    out = np.full((len(contexts), LENGTH), PAD, np.int16)
+    out = np.full((LENGTH, len(contexts)), PAD, np.uint8)
     for k, (c, left) in enumerate(zip(contexts, lefts, strict=True)):
-        out[k, REACH - left : REACH - left + len(c)] = np.frombuffer(c, np.uint8)
+        out[REACH - left : REACH - left + len(c), k] = np.frombuffer(c, np.uint8)
     return out
 
 
