@@ -48,6 +48,8 @@ SKETCH_BITS = 22
 PROFILE = 128
 #: Larger regions go to the pivots without a look at the profiles.
 PRUNE = 4096
+#: Members of a block where blocks are joined.
+BLOCK = 512
 _CHUNK_BITS = 16
 
 
@@ -207,25 +209,51 @@ def _stream(f: Callable, schema: str, rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(f, schema)
 
 
+def _near(p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Rows whose profiles let the sets be linked."""
+    t = PERCENT / 100
+    return np.abs(p.astype(np.int16) - q).sum(axis=-1) <= (1 - t) / (1 + t) * (n + m) + 1e-6
+
+
+def merge_regions(members: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Regions whose leaders stand in each other's regions with like profiles become one: copies share one region.
+
+    A region may be joined with any other without loss, so nothing depends on the choice but the work.
+    """
+    leaders = members.select(F.col("region").alias("cid")).distinct()
+    pairs = members.where("region <> cid").join(leaders, "cid", "left_semi").select("cid", "n", "region")
+    one = profiles.select(F.col("_cid").alias("cid"), F.col("profile").alias("p"))
+    two = profiles.select(F.col("_cid").alias("region"), F.col("profile").alias("q"), F.col("_n").alias("m"))
+    pairs = pairs.join(one, "cid").join(two, "region")
+
+    def like(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                p, q = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, PROFILE) for c in "pq")
+                yield pdf.loc[_near(p, q, pdf["n"].to_numpy(), pdf["m"].to_numpy()), ["cid", "region"]]
+
+    to = pairs.mapInPandas(like, "cid bigint, region bigint").groupBy("cid").agg(F.min("region").alias("to"))
+    first = to.select(F.col("cid").alias("a"), F.col("to").alias("b"))
+    jump = to.select(F.col("cid").alias("b"), F.col("to").alias("c"))
+    moved = first.join(jump, "b", "left").select(F.col("a").alias("region"), F.coalesce("c", "b").alias("_to"))
+    return members.join(moved, "region", "left").select(F.coalesce("_to", "region").alias("region"), "cid", "n").distinct()
+
+
 def prune(rows: DataFrame) -> DataFrame:
     """Splits regions of at most PRUNE members by what profiles rule out: rows ``region, cid, n, profile`` to ``region, cid, n``.
 
     Linked sets A, B differ in at most (|A| + |B|) / 9 shingles (for t = 0.8), their profiles in no more. Members that
     no chain of such pairs connects go apart, lonely ones go; parts with the same members become one region.
     """
-    t = PERCENT / 100
-    share = (1 - t) / (1 + t)
-
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for_all = []
         for _, group in _groups(batches, ["region"]):
             once = list({r.cid: r for r in group}.values())
             n = np.array([r.n for r in once], np.int64)
-            p = np.frombuffer(b"".join(r.profile for r in once), np.uint8).reshape(len(once), PROFILE).astype(np.int16)
+            p = np.frombuffer(b"".join(r.profile for r in once), np.uint8).reshape(len(once), PROFILE)
             near = Union(len(once))
             for i in range(len(once) - 1):
-                differ = np.abs(p[i + 1 :] - p[i]).sum(axis=1)
-                for j in np.flatnonzero(differ <= share * (n[i + 1 :] + n[i]) + 1e-6):
+                for j in np.flatnonzero(_near(p[i + 1 :], p[i], n[i + 1 :], n[i])):
                     near.join(i, i + 1 + int(j))
             parts: dict[int, list] = {}
             for i, r in enumerate(once):
@@ -293,7 +321,7 @@ def to_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
                 home = int(np.argmin(d))
                 near = [k for k in range(len(held)) if ok[k]]
                 cells = [k for k in range(len(held)) if d[k] < 1 and d[k] <= d[home] + 2 * e + 1e-9]
-                out.append((r.region, r.cid, r.n, r.root, [held[k][0] for k in near], bool(d[home] >= 1 - 2 * e - 1e-9), [held[k][0] for k in cells], [float(d[k]) for k in cells]))
+                out.append((r.region, r.cid, r.n, r.root, sorted(held[k][0] for k in near), bool(d[home] >= 1 - 2 * e - 1e-9), [held[k][0] for k in cells], [float(d[k]) for k in cells]))
             yield pd.DataFrame(out, columns=["region", "cid", "n", "root", "near", "far", "cells", "d"])
 
     return _stream(work, "region bigint, cid bigint, n bigint, root bigint, near array<bigint>, far boolean, cells array<bigint>, d array<double>", _sorted_rows(both, ["region", "part"], ["kind", "cid"]))
@@ -335,28 +363,54 @@ def join_regions(regions: DataFrame, texts: DataFrame, scratch: Scratch) -> list
         dealt = told(large.withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int")))
         measured = scratch.table(to_pivots(dealt, pivots), f"measured-{level}")
         edges.append(measured.select(F.col("cid").alias("a"), F.explode("near").alias("b")).where("a <> b"))
-        regions = scratch.table(next_cells(measured, large.select("region", "members").distinct()), f"cells-{level}")
+        regions = scratch.table(next_cells(measured, scratch.table(pivot_roots(measured), f"roots-{level}"), large.select("region", "members").distinct()), f"cells-{level}")
         level += 1
 
 
-def next_cells(measured: DataFrame, parents: DataFrame) -> DataFrame:
-    """The cells that still need a join, as regions; a member's root is the pivot it is linked to, if any."""
+def pivot_roots(measured: DataFrame) -> DataFrame:
+    """``region, pivot, root``: pivots that common partners connect; at most PIVOTS squared rows a region are summed up."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(set(pdf["a"]) | set(pdf["b"]))
+        at = {x: i for i, x in enumerate(ids)}
+        near = Union(len(ids))
+        for a, b in zip(pdf["a"], pdf["b"], strict=True):
+            near.join(at[a], at[b])
+        return pd.DataFrame({"region": pdf["region"].iloc[0], "pivot": ids, "proot": [ids[near.root(i)] for i in range(len(ids))]})
+
+    both = measured.where(F.size("near") > 1).select("region", F.col("near")[0].alias("a"), F.explode(F.slice("near", 2, PIVOTS)).alias("b")).distinct()
+    return both.groupBy("region").applyInPandas(work, "region bigint, pivot bigint, proot bigint")
+
+
+def next_cells(measured: DataFrame, roots: DataFrame, parents: DataFrame) -> DataFrame:
+    """The cells that still need a join, as regions; a member's root is a node it is known to be connected to.
+
+    Pivots have met every member, so they are done. In a cell, members connected to its pivot need no join with each
+    other; they stay only where the distances to the pivot let them reach one of the rest.
+    """
     e = 1 - PERCENT / 100
-    root = F.when(F.size("near") > 0, F.array_min("near")).otherwise(F.col("root"))
-    measured = measured.withColumn("newroot", root)
-    inside = measured.select("region", "cid", "n", "near", F.col("newroot").alias("root"), F.explode(F.arrays_zip("cells", "d")).alias("c"))
-    inside = inside.select(F.col("region").alias("parent"), F.xxhash64("region", F.col("c.cells")).alias("region"), "cid", "n", "root", F.col("c.d").alias("d"), F.array_contains("near", F.col("c.cells")).alias("core"))
-    # Members linked to the cell's pivot are linked to each other; they are kept only as far as others may reach them.
-    least = inside.where(~F.col("core")).groupBy("region").agg(F.min("d").alias("low"))
-    inside = inside.join(least, "region").where(~F.col("core") | (F.col("d") >= F.col("low") - e - 1e-9))
-    none = measured.where("far").select(F.col("region").alias("parent"), F.xxhash64("region", F.lit("none")).alias("region"), "cid", "n", F.col("newroot").alias("root"))
+    named = roots.select(F.col("region").alias("_region"), F.col("pivot").alias("_pivot"), "proot")
+
+    def rooted(df: DataFrame, pivot: str) -> DataFrame:
+        on = (F.col("region") == F.col("_region")) & (F.col(pivot) == F.col("_pivot"))
+        return df.join(named, on, "left").withColumn("proot", F.coalesce("proot", pivot)).drop("_region", "_pivot")
+
+    left = measured.where(~F.array_contains("near", F.col("cid"))).withColumn("first", F.when(F.size("near") > 0, F.col("near")[0]))
+    left = rooted(left, "first").withColumn("newroot", F.coalesce("proot", "root")).drop("proot", "first")
+    inside = left.select("region", "cid", "n", F.col("newroot").alias("root"), F.explode(F.arrays_zip("cells", "d")).alias("c"))
+    inside = rooted(inside.select("region", "cid", "n", "root", F.col("c.cells").alias("pivot"), F.col("c.d").alias("d")), "pivot")
+    inside = inside.select(F.col("region").alias("parent"), F.xxhash64("region", "pivot").alias("region"), "cid", "n", "root", "d", (F.col("root") == F.col("proot")).alias("core"))
+    rest = inside.where(~F.col("core")).groupBy("region").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    inside = inside.join(rest, "region").where(~F.col("core") | F.col("d").between(F.col("low") - e - 1e-9, F.col("high") + e + 1e-9))
+    none = left.where("far").select(F.col("region").alias("parent"), F.xxhash64("region", F.lit("none")).alias("region"), "cid", "n", F.col("newroot").alias("root"))
     cells = inside.select("parent", "region", "cid", "n", "root").unionByName(none)
-    return cells.join(parents.select(F.col("region").alias("parent"), F.col("members").alias("was")), "parent").drop("parent")
+    open_ = cells.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("region")
+    return cells.join(open_, "region").join(parents.select(F.col("region").alias("parent"), F.col("members").alias("was")), "parent").drop("parent")
 
 
 def blocks(large: DataFrame) -> DataFrame:
-    """Block against block: members in blocks of half a leaf, a region for every two blocks of a region."""
-    count = F.ceil(F.col("members") / (LEAF // 2)).cast("int")
+    """Block against block: members in blocks of BLOCK, a region for every two blocks of a region."""
+    count = F.ceil(F.col("members") / (BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("cid", F.lit("block")), F.col("count")).cast("int")
     dealt = large.withColumn("count", count).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
     pair = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
@@ -374,13 +428,16 @@ def join(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     leaders = scratch.table(anchored.groupBy("anchor").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader <> last").select("anchor", "leader"), "leaders")
     scratch.drop()
     members = anchored.join(leaders, "anchor").select(F.col("leader").alias("region"), "cid", "n").distinct()
-    members = scratch.table(_sized(scratch.table(members, "shared")), "sized")
-    scratch.drop("leaders", "shared")
-    profiles = classes.select(F.col("cid").alias("_cid"), "profile")
+    members = scratch.table(members, "shared")
+    scratch.drop("leaders")
+    # A class read in several tasks has a row for each.
+    profiles = scratch.table(classes.select(F.col("cid").alias("_cid"), F.col("n").alias("_n"), "profile").dropDuplicates(["_cid"]), "profiles")
+    members = scratch.table(_sized(scratch.table(merge_regions(members, profiles), "merged")), "sized")
+    scratch.drop("shared", "merged")
     pruned = prune(members.where(F.col("members") <= PRUNE).join(profiles, F.col("cid") == F.col("_cid")).select("region", "cid", "n", "profile"))
     kept = scratch.table(pruned.unionByName(members.where(F.col("members") > PRUNE).select("region", "cid", "n")), "members")
     texts = scratch.table(classes.select("cid", "text").join(kept.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "texts")
-    scratch.drop("classes", "sized")
+    scratch.drop("classes", "sized", "profiles")
     regions = kept.withColumn("root", F.col("cid")).withColumn("was", F.lit(1 << 62))
     found = join_regions(regions, texts, scratch)
     edges = found[0]
