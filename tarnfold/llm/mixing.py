@@ -129,3 +129,41 @@ def mix(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle() -> str:
+    """The same rows in DuckDB's SQL."""
+
+    def u(*parts: str) -> str:
+        return f"(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::BIGINT / {2**52}.0::DOUBLE)"
+
+    def least_sum(x: str) -> str:
+        return f"coalesce(sum({x}) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)"
+
+    b, k = BLOCK, SHARD_BLOCKS
+    return rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+s1 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+s2 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank, (sum(source_size) OVER ())::BIGINT AS total FROM s1),
+s3 AS (SELECT *, {list(WEIGHTS)}[(rank % {len(WEIGHTS)} + 1)::INTEGER] AS weight, source_size * {MAX_REPEAT} AS cap FROM s2),
+s4 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s3),
+s5 AS (SELECT *, (SELECT level FROM s4 o WHERE o.level * o.weight <= o.cap ORDER BY o.cap / o.weight, o.rank LIMIT 1) AS final FROM s4),
+sources AS (SELECT source, rank, source_size, total, least(cap::DOUBLE, coalesce(final * weight, cap)) AS target FROM s5),
+e1 AS (SELECT *, ceil(total / {b})::BIGINT AS slots, ceil(source_size / {b})::BIGINT AS blocks, target / total AS share FROM sources WHERE total > 0),
+e2 AS (SELECT *, slots - floor((slots - 1) / {k})::BIGINT * {k} AS last FROM e1),
+e3 AS (SELECT *, floor({k} * share)::BIGINT AS sf, floor(last * share)::BIGINT AS sl FROM e2),
+e4 AS (SELECT *, {k} * share - sf AS pf, last * share - sl AS pl FROM e3),
+e5 AS (SELECT *, {least_sum("pf")} AS lf, {least_sum("pl")} AS ll, sum(pf) OVER () AS af, sum(pl) OVER () AS al, ({k} - sum(sf) OVER ())::BIGINT AS rf, (last - sum(sl) OVER ())::BIGINT AS rl, unnest(range(ceil(slots / {k})::BIGINT)) AS shard FROM e4),
+e6 AS (SELECT rank, blocks, shard, shard = ceil(slots / {k})::BIGINT - 1 AS z, sf, sl, pf, pl, lf, ll, af, al, rf, rl FROM e5),
+e7 AS (SELECT rank, blocks, shard, CASE WHEN z THEN sl ELSE sf END AS sure, CASE WHEN z THEN pl ELSE pf END AS part, CASE WHEN z THEN ll ELSE lf END AS low, CASE WHEN z THEN al ELSE af END AS every, CASE WHEN z THEN rl ELSE rf END AS rest FROM e6),
+drawn AS (SELECT rank, blocks, shard, sure + len(list_filter(range(1, rest + 1), lambda i: {u("'draw'", "shard", "i")} * every >= low AND {u("'draw'", "shard", "i")} * every < low + part)) AS n FROM e7),
+numbered AS (SELECT *, (sum(n) OVER (PARTITION BY rank ORDER BY shard) - n)::BIGINT AS before FROM drawn),
+slot AS (SELECT rank, blocks, unnest(range(before, before + n)) AS j FROM numbered WHERE n > 0 AND blocks > 0),
+turned AS (SELECT rank, blocks, j // blocks AS turn, j % blocks AS idx FROM slot WHERE j < blocks * {MAX_REPEAT}),
+picked AS (SELECT *, floor({u("'prime'", "rank", "turn")} * {len(PRIMES)})::INTEGER AS pick, floor({u("'shift'", "rank", "turn")} * blocks)::BIGINT AS shift FROM turned),
+times AS (SELECT rank, (list_filter(list_concat(list_slice({list(PRIMES)}::BIGINT[], pick + 1, {len(PRIMES)}), {list(PRIMES)}::BIGINT[]), lambda p: blocks % p <> 0)[1] * idx + shift) % blocks AS block, count(*) AS times FROM picked GROUP BY ALL),
+placed AS (SELECT rank, doc_id, size, source_size, target, (sum(size) OVER (PARTITION BY rank ORDER BY md5(concat_ws(':', doc_id, size)), doc_id ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before FROM d JOIN sources ON d.source IS NOT DISTINCT FROM sources.source),
+pieces AS (SELECT *, unnest(range(before // {b}, (before + size - 1) // {b} + 1)) AS block FROM placed WHERE size > 0)
+SELECT doc_id, size, any_value(source_size) AS source_size, any_value(target) AS target, sum((least(before + size, (block + 1) * {b}) - greatest(before, block * {b})) * coalesce(times, 0))::BIGINT AS taken
+FROM pieces LEFT JOIN times USING (rank, block) GROUP BY rank, doc_id, before, size
+UNION ALL SELECT doc_id, size, source_size, target, 0 FROM placed WHERE size = 0"""
