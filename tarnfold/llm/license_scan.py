@@ -4,7 +4,8 @@ A text's segments are its lines, its paragraphs (parted by blank lines) and the
 and a licence file are both found. A segment's words are its runs of ASCII letters and digits in lower case; compared
 are the sets of neighbouring pairs. Dice d = 2 |A and B| / (|A| + |B|) can reach ``t`` only if |A| lies between
 ``|B| t / (2 - t)`` and ``|B| (2 - t) / t``: templates outside these bounds are dropped before any comparison.
-Expressions only, in one projection: no shuffle, no Python.
+Texts that hold none of the words
+of which every match holds one are done with at once. Expressions only, in one projection: no shuffle, no Python.
 
 Defined results: null and empty texts have no licence; equal segments count once; of ties the licence that comes first
 in code point order counts; an empty table gives an empty result; further columns are ignored.
@@ -53,6 +54,22 @@ def template_rows(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tup
     return out
 
 
+def telling_words(rows: list[tuple[str, list[str], float, float]], threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every segment that reaches the threshold holds one.
+
+    Dice t needs ``t / (2 - t)`` of a template's bigrams in the segment. Of each template words are taken, the longest
+    first and common ones last, until fewer bigrams than that are left without one of them.
+    """
+    common = {"at", "by", "for", "following", "in", "is", "of", "the", "to", "under"}
+    chosen: set[str] = set()
+    for _, pairs, _, _ in rows:
+        for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (w in common, -len(w), w)):
+            if sum(not chosen & set(p.split()) for p in pairs) < threshold / (2 - threshold) * len(pairs) - 1e-9:
+                break
+            chosen.add(word)
+    return sorted(chosen)
+
+
 def segments(text: Column) -> Column:
     """Distinct normalised lines, paragraphs and whole text."""
     plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9\n]+", " "))
@@ -78,7 +95,9 @@ def matches(text: Column, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         return F.array_min(F.transform(near, lambda t: F.struct((F.size(F.array_intersect(p, t["pairs"])) * -2.0 / (F.size(p) + F.size(t["pairs"]))).alias("minus"), t["name"].alias("name"))))
 
     good = F.filter(F.transform(pairs, compared), lambda d: d["minus"] <= -threshold)
-    return F.transform(good, lambda d: F.struct((-d["minus"]).alias("dice"), d["name"].alias("name")))
+    found = F.transform(good, lambda d: F.struct((-d["minus"]).alias("dice"), d["name"].alias("name")))
+    # Texts without any telling word are not cut into segments at all.
+    return F.when(text.rlike("(?<![A-Za-z0-9])(?i:" + "|".join(telling_words(rows, threshold)) + ")(?![A-Za-z0-9])"), found).otherwise(F.array().cast("array<struct<dice:double,name:string>>"))
 
 
 def scan(documents: DataFrame) -> DataFrame:
