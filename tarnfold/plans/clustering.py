@@ -47,11 +47,10 @@ def majority_label(spark, sf):
 
 @query(f"SELECT a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(covar_samp(a.x, b.x), 7) + 0.0::DOUBLE AS covariance FROM ({_EACH}) a JOIN ({_EACH}) b ON a.vec_id = b.vec_id AND a.dim <= b.dim AND b.dim < 8 GROUP BY 1, 2")
 def pca_covariance(spark, sf):
-    """Covariances of the first eight dimensions in one aggregation."""
-    p = points(spark, sf)
-    pairs = [(i, j) for i in range(8) for j in range(i, 8)]
-    row = p.agg(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.round(F.covar_samp(F.col("features")[i], F.col("features")[j]), 7) + F.lit(0.0)).alias("covariance")).alias(f"c{i}_{j}") for i, j in pairs])
-    return row.select(F.explode(F.array(*row.columns)).alias("c")).select("c.*")
+    """Covariances of all dimensions: pairs of a row's values, summed before the shuffle."""
+    each = points(spark, sf).select("features", F.posexplode("features").alias("i", "x"))
+    pairs = each.select("i", "x", F.posexplode("features").alias("j", "y")).where("i <= j")
+    return pairs.groupBy("i", "j").agg((F.round(F.covar_samp("x", "y"), 7) + F.lit(0.0)).alias("covariance"))
 
 
 @query()

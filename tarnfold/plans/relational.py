@@ -121,7 +121,7 @@ def fill_nulls_cast(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice > 60000 THEN NULL ELSE l_extendedprice END AS price, CASE WHEN l_quantity > 45 THEN NULL ELSE l_quantity END AS quantity FROM lineitem WHERE l_orderkey % 10 = 3")
 def conditional_null_out(spark, sf):
-    line = S.table(spark, sf, "lineitem").where("l_orderkey % 10 = 3")
+    line = S.table(spark, sf, "lineitem")
     return line.select("l_orderkey", "l_linenumber", F.when(~(F.col("l_extendedprice") > 60000), F.col("l_extendedprice")).alias("price"), F.when(~(F.col("l_quantity") > 45), F.col("l_quantity")).alias("quantity"))
 
 

@@ -73,13 +73,13 @@ def fulltext_rank(spark, sf):
 
 @query("SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND conv_id < 20")
 def person_messages(spark, sf):
-    return S.table(spark, sf, "conversations").where("role = 'user' AND conv_id < 20").select("conv_id", "turn", "text")
+    return S.table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
 
 
 @query("SELECT role, count(*) AS n, string_agg(conv_id || '.' || turn, ',' ORDER BY conv_id, turn) AS records FROM conversations WHERE conv_id < 50 GROUP BY 1")
 def kv_documents(spark, sf):
     """Documents by key, each a list of records in order."""
-    c = S.table(spark, sf, "conversations").where("conv_id < 50")
+    c = S.table(spark, sf, "conversations")
     records = F.array_sort(F.collect_list(F.struct("conv_id", "turn")))
     return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(records, lambda x: F.concat_ws(".", x["conv_id"], x["turn"])), ",").alias("records"))
 
