@@ -2,8 +2,9 @@
 
 Patterns cut each whole text into matches and the gaps between them (expressions only); the gaps give the positions.
 Every match's value is a candidate; its hash is counted over the corpus by distinct repositories (here: documents) and
-owners (here: sources). A value with more than ``max_owners`` owners is an example that people copy, one with fewer
-belongs to its owner. Fixed kinds (``BASE``) are reported always, with the counts of both sorts in ``n_live`` and
+owners (here: sources). A value with more than ``max_owners`` owners or more than ``max_repos`` distinct repositories
+is an example that people copy, any other belongs to its owner; ``repos`` and ``owners`` are the two counts of each of
+the ``spans``, in their order. Fixed kinds (``BASE``) are reported always, with the counts of both sorts in ``n_live`` and
 ``n_example``; the further kinds (``MORE``) are reported only where the corpus says that they are owner-specific, and
 where they overlap no fixed span.
 
@@ -27,7 +28,8 @@ MORE = (
     ("signed", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
     ("opaque", "(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{24,128}(?![A-Za-z0-9+/_.-])", 0, 24),
 )
-MAX_OWNERS = 2
+#: A key in use stands in the few repositories of its owner; the number is set by hand, beside MAX_OWNERS.
+MAX_OWNERS, MAX_REPOS = 2, 5
 
 
 def _varied(value: Column) -> Column:
@@ -63,16 +65,13 @@ def candidates(rows: DataFrame, kinds: tuple) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """``value_hash, repos, owners``; each step sums before it shuffles, so no value's rows meet in one task."""
-    return (
-        found.groupBy("value_hash", "owner", "repo").agg(F.lit(1).alias("one"))
-        .groupBy("value_hash", "owner").agg(F.count("one").alias("repos"))
-        .groupBy("value_hash").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"))
-    )
+    """``value_hash, repos, owners``, both distinct; each step sums before it shuffles, so no value's rows meet in one task."""
+    repos, owners = (found.select("value_hash", c).distinct().groupBy("value_hash").agg(F.count(F.lit(1)).alias(f"{c}s")) for c in ("repo", "owner"))
+    return repos.join(owners, "value_hash")
 
 
-def scan(documents: DataFrame, id_col: str = "doc_id", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row a document: counts by fixed kind, digest of the fixed spans, all spans, live and example counts."""
+def scan(documents: DataFrame, id_col: str = "doc_id", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """One row a document: counts by fixed kind, digest of the fixed spans, all spans and their ownership, live and example counts."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "secrets")
     kinds = BASE + MORE
@@ -82,9 +81,9 @@ def scan(documents: DataFrame, id_col: str = "doc_id", repo_col: str = "doc_id",
     )
     rows = scratch.table(rows, "rows")
     found = scratch.table(candidates(rows, kinds).withColumn("value_hash", F.xxhash64("value")).drop("value"), "found")
-    judged = found.join(ownership(found), "value_hash").withColumn("live", F.col("owners") <= max_owners)
+    judged = found.join(ownership(found), "value_hash").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
     judged = judged.where(F.col("live") | (F.col("kind") < len(BASE)))
-    listed = F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live")))
+    listed = F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "repos", "owners")))
     by_row = judged.groupBy("rid").agg(listed.alias("all"))
     base = F.filter("all", lambda x: x["kind"] < len(BASE))
     by_row = by_row.withColumn("base", base).withColumn("all", F.filter("all", lambda x: (x["kind"] < len(BASE)) | ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
@@ -99,7 +98,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", repo_col: str = "doc_id",
     counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind[0]}") for k, kind in enumerate(BASE)]
     live = F.size(F.filter("all", lambda x: x["live"])).cast("long")
     return out.select(
-        "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"), live.alias("n_live"), (F.size("all") - live).alias("n_example")
+        "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"), F.col("all.repos").alias("repos"), F.col("all.owners").alias("owners"), live.alias("n_live"), (F.size("all") - live).alias("n_example")
     )
 
 

@@ -300,3 +300,13 @@ def test_queries_match_sql(spark):
         columns = sorted(df.columns)
         assert columns == sorted(want.columns)
         assert sorted(str([r[k] for k in columns]) for r in df.collect()) == sorted(str(list(r)) for r in want.select(*[f'"{k}"' for k in columns]).fetchall())
+
+
+def test_secrets_copied_in_one_source(spark):
+    """A value in many documents of one source is an example, one in few of them is live; a repository of two owners counts once."""
+    copied, own = "aB3dE5fG7hJ9kL1mN3pQ5rS7", "zY9xW7vU5tS3rQ1pN2mL4kJ6"
+    d = docs(spark, [f"see {copied} here, password={copied}"] * 8 + [f"see {own} here"] * 2).withColumn("source", F.lit("hot"))
+    got = secret_scan.scan(d).orderBy("doc_id").collect()
+    assert [(r["spans"], r["repos"], r["owners"], r["n_live"], r["n_example"]) for r in got] == [("assign:35:68", [8], [1], 0, 1)] * 8 + [("opaque:4:28", [2], [1], 1, 0)] * 2
+    two = secret_scan.scan(docs(spark, [f"see {own} here"] * 2, [1, 1])).first()
+    assert (two["repos"], two["owners"]) == ([1], [2])
