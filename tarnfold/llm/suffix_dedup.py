@@ -87,7 +87,8 @@ def seeds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             size *= 2
         most = np.maximum(m[: len(h)], m[REACH + 1 - size : REACH + 1 - size + len(h)])
         chosen = np.flatnonzero(h == most)
-        chosen = chosen[(chosen + lo >= start) & (chosen + lo < start + _STEP)] if n - start > _STEP else chosen[chosen + lo >= start]
+        last = start + _STEP >= n - WINDOW + 1  # no piece follows, so the rest belongs here
+        chosen = chosen[(chosen + lo >= start) & (last | (chosen + lo < start + _STEP))]
         at.append(chosen + lo)
         found.append(h[chosen])
     if not at:

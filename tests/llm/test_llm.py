@@ -310,3 +310,21 @@ def test_secrets_copied_in_one_source(spark):
     assert [(r["spans"], r["repos"], r["owners"], r["n_live"], r["n_example"]) for r in got] == [("assign:35:68", [8], [1], 0, 1)] * 8 + [("opaque:4:28", [2], [1], 1, 0)] * 2
     two = secret_scan.scan(docs(spark, [f"see {own} here"] * 2, [1, 1])).first()
     assert (two["repos"], two["owners"]) == ([1], [2])
+
+
+def test_seeds_across_pieces(monkeypatch):
+    """Cutting a text into pieces loses no seed, wherever its end lies."""
+    data = prose(random.Random(8), 1200).encode()
+    for n in (*range(1024 + 60, 1024 + 404, 7), 1087, 1423, 2048 + 64, 2048 + 399, 3000):
+        monkeypatch.setattr(suffix_dedup, "_STEP", 1 << 20)
+        whole = suffix_dedup.seeds(data[:n])
+        monkeypatch.setattr(suffix_dedup, "_STEP", 1024)
+        assert all((a == b).all() for a, b in zip(whole, suffix_dedup.seeds(data[:n]), strict=True)), n
+
+
+def test_suffix_dedup_long_copies(spark):
+    """Copies of a text just beyond a piece go to their last byte."""
+    rng = random.Random(12)
+    t = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=(1 << 20) + 200))
+    got = suffix_dedup.dedup(docs(spark, [t, t])).collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got] == [(len(t), len(t), 1)] * 2
