@@ -1,17 +1,18 @@
 """Personal data by bootstrapped contextual extraction: seeds induce word patterns, patterns find unseen identifiers.
 
 Fixed patterns (e-mail, IPv4, card, phone) give the base spans of every whole text, and these the seed entities.
-Identifier-like tokens beside them (an at sign, or five digits and more) are candidates. Every seed and candidate
-stands in lexical patterns: the two words before it, and the word before with the word after. Patterns and instances
+Identifier-like tokens beside them (an at sign, or five digits and more) are candidates, and so are runs of number
+tokens across single spaces, of any length. Every seed and candidate stands in lexical patterns: the two words before it, and the word before with the word after. Patterns and instances
 (normalised values) make a graph over the corpus; Spark scores it in turns:
 
-* a pattern's score for a kind: the summed confidence of its distinct instances of that kind over all its instances;
+* a pattern's score for a kind: the summed confidence of its distinct instances of that kind over that sum and the
+  instances that contradict it (of another kind, or without the kind's shape; unseen ones that fit do not count);
   it counts if the sum is at least ``SUPPORT`` and the score at least ``CONFIDENT``;
 * an unseen instance's confidence for a kind: 1 - product over its counting patterns of (1 - score), for kinds whose
   shape it has; it then takes part in the next turn.
 
 Instances at or above ``CONFIDENT`` after ``TURNS`` turns are reported wherever they stand, as spans of their kind that
-overlap no base span. ``n_*`` count base spans, ``n_found`` the further ones.
+overlap no base span; a found run takes the place of its tokens. ``n_*`` count base spans, ``n_found`` the further ones.
 
 Defined results: a null text is empty; a null id is an id; equal rows are rows of their own; no span gives the hash of
 the empty string; an empty table gives an empty result; further columns are ignored.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfold.llm.scratch import Scratch
@@ -39,6 +40,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _DIGITS = re.compile(r"[0-9]")
 _EDGE = "\"'`()[]{}<>,;:!?*#$%&|=."
+_NUMBER = re.compile(r"[0-9+().-]+")
 _WHITE = frozenset(" \t\n\r\x0b\x0c")
 
 
@@ -81,10 +83,25 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens that overlap no base span."""
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
+    """(start, end, start of the run, is the run) of identifier-like tokens and runs of number tokens beside the base spans.
+
+    Of the tokens of a longer run, those that have a shape by themselves.
+    """
     taken = sorted((s, e) for _, s, e in base)
     out, end, t = [], 0, 0
+    run: list[tuple[int, int]] = []
+
+    def like(s: int, e: int) -> bool:
+        return 0 < text.find("@", s, e) - s < e - s - 1 or len(_DIGITS.findall(text, s, e)) >= 5
+
+    def close() -> None:
+        if len(run) > 1:
+            out.extend((*x, run[0][0], False) for x in run if like(*x) and shapes(text[slice(*x)]))
+        if run and like(run[0][0], run[-1][1]):
+            out.append((run[0][0], run[-1][1], run[0][0], True))
+        run.clear()
+
     for m in _MARK.finditer(text):
         if m.start() < end:
             continue
@@ -103,9 +120,12 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             t += 1
         if t < len(taken) and taken[t][0] < e:
             continue
-        token = text[s:e]
-        if 6 <= len(token) <= 64 and (0 < token.find("@") < len(token) - 1 or len(_DIGITS.findall(token)) >= 5):
-            out.append((s, e))
+        # A number token goes on with a run that ended one space before it, brackets aside.
+        joins = run and text[run[-1][1] : s] in (" ", " (", ") ", ") (") and _NUMBER.fullmatch(text, *run[-1]) and _NUMBER.fullmatch(text, s, e)
+        if not joins:
+            close()
+        run.append((s, e))
+    close()
     return out
 
 
@@ -115,7 +135,7 @@ def _hash(text: str) -> int:
 
 def contexts(text: str, s: int, e: int) -> list[int]:
     """Hashes of the lexical patterns around a span."""
-    before = [w.strip(_EDGE).lower() for w in text[max(0, s - 64) : s].split()[-2:]]
+    before = [w.strip(_EDGE).lower() for w in text[max(0, s - 64) : s].rstrip(_EDGE).split()[-2:]]
     after = [w.strip(_EDGE).lower() for w in text[e : e + 48].split()[:1]]
     made = []
     if len(before) == 2 and all(before):
@@ -148,17 +168,18 @@ def read(documents: DataFrame, scratch: Scratch) -> DataFrame:
                 for k, s, e in base:
                     i = _hash(f"{k} {text[s:e].lower()}")
                     edges += [{"p": p, "i": i, "kind": k, "shapes": [k]} for p in contexts(text, s, e)]
-                for s, e in candidates(text, base):
-                    if of := shapes(text[s:e]):
-                        i = _hash(text[s:e].lower())
-                        edges += [{"p": p, "i": i, "kind": -1, "shapes": of} for p in contexts(text, s, e)]
-                        found.append({"i": i, "s": s, "e": e})
+                for s, e, run, whole in candidates(text, base):
+                    of = shapes(text[s:e])
+                    i = _hash(text[s:e].lower())
+                    edges += [{"p": p, "i": i, "kind": -1, "shapes": of} for p in contexts(text, s, e)]
+                    if of:
+                        found.append({"i": i, "s": s, "e": e, "run": run, "whole": whole})
                 counts = [sum(k == j for k, _, _ in base) for j in range(len(KINDS))]
                 out.append((rid, doc_id, *counts, joined(base), edges, found))
             yield pd.DataFrame(out, columns=["rid", "doc_id", *[f"n_{k}" for k in KINDS], "base", "edges", "found"])
 
     rows = documents.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    schema = f"rid bigint, doc_id {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base string, edges array<struct<p:bigint,i:bigint,kind:int,shapes:array<int>>>, found array<struct<i:bigint,s:int,e:int>>"
+    schema = f"rid bigint, doc_id {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base string, edges array<struct<p:bigint,i:bigint,kind:int,shapes:array<int>>>, found array<struct<i:bigint,s:int,e:int,run:int,whole:boolean>>"
     return scratch.table(rows.mapInPandas(work, schema), "rows")
 
 
@@ -166,11 +187,18 @@ def bootstrap(edges: DataFrame, scratch: Scratch, turns: int = TURNS) -> DataFra
     """``i, kind``: unseen instances found, from edges ``p, i, kind, shapes`` (kind -1: unseen)."""
     edges = scratch.table(edges.dropDuplicates(["p", "i"]), "edges")
     seeds = edges.where("kind >= 0").select("i", "kind", F.lit(1.0).alias("confidence")).distinct()
-    sizes = edges.groupBy("p").agg(F.count(F.lit(1)).alias("all"))
     known, found = seeds, None
     for turn in range(turns):
-        held = edges.select("p", "i").join(known, "i").groupBy("p", "kind").agg(F.sum("confidence").alias("support"))
-        patterns = held.join(sizes, "p").withColumn("score", F.col("support") / F.col("all")).where((F.col("support") >= SUPPORT) & (F.col("score") >= CONFIDENT))
+        held = known.groupBy("i").agg(*[F.max(F.when(F.col("kind") == k, F.col("confidence")).otherwise(0.0)).alias(f"c{k}") for k in range(len(KINDS))])
+        each = edges.join(held, "i", "left").na.fill(0.0, [f"c{k}" for k in range(len(KINDS))])
+        sums = []
+        for k in range(len(KINDS)):
+            other = F.greatest(*[F.col(f"c{j}") for j in range(len(KINDS)) if j != k])
+            against = F.when(F.array_contains("shapes", k), F.greatest(other - F.col(f"c{k}"), F.lit(0.0))).otherwise(1.0)
+            sums += [F.sum(f"c{k}").alias(f"s{k}"), F.sum(against).alias(f"a{k}")]
+        scored = each.groupBy("p").agg(*sums)
+        scored = scored.select("p", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"s{k}").alias("support"), F.col(f"a{k}").alias("against")) for k in range(len(KINDS))])).alias("x")).select("p", "x.*")
+        patterns = scored.withColumn("score", F.col("support") / F.greatest(F.col("support") + F.col("against"), F.lit(SUPPORT))).where((F.col("support") >= SUPPORT) & (F.col("score") >= CONFIDENT))
         unseen = edges.where("kind < 0").join(patterns.select("p", F.col("kind").alias("of"), "score"), "p").where(F.array_contains("shapes", F.col("of")))
         doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("score"), F.lit(0.999)))))
         found = scratch.table(unseen.groupBy("i", F.col("of").alias("kind")).agg((F.lit(1.0) - doubt).alias("confidence")), f"found-{turn}")
@@ -185,6 +213,7 @@ def find(documents: DataFrame) -> DataFrame:
     rows = read(documents.select("doc_id", "text"), scratch)
     found = bootstrap(rows.select(F.explode("edges").alias("x")).select("x.*"), scratch)
     more = rows.select("rid", F.explode("found").alias("x")).select("rid", "x.*").join(found, "i")
+    more = more.withColumn("run_found", F.max("whole").over(Window.partitionBy("rid", "run"))).where("whole or not run_found")
     more = more.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("more"))
     out = rows.select("rid", "doc_id", *[f"n_{k}" for k in KINDS], "base").join(more, "rid", "left")
     names = F.array(*[F.lit(k) for k in KINDS])

@@ -328,3 +328,22 @@ def test_suffix_dedup_long_copies(spark):
     t = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=(1 << 20) + 200))
     got = suffix_dedup.dedup(docs(spark, [t, t])).collect()
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got] == [(len(t), len(t), 1)] * 2
+
+
+def test_pii_spaced_and_long_identifiers(spark):
+    """Runs across single spaces are candidates of any length; a run is reported once, not with its tokens."""
+    seen = [f"hello please call me at +1 (555) 010-{1000 + i} today, thanks" for i in range(5)]
+    seen += [f"my card number 4111 1111 1111 1111{x} expires soon" for x in ("", " ")] + ["my card number 5500 0000 0000 0004 expires soon", "my card number 4012 8888 8888 1881 expires soon"]
+    new = ["hello please call me at 555 010 2001 today, thanks", "my card number 4111 1111 1111 1112 expires soon", "hello please call me at (555) 0102003 today, thanks", "at 1 2 3 4"]
+    got = [r["spans"] for r in pii.find(docs(spark, seen + new)).orderBy("doc_id").collect()]
+    assert got[9:] == ["phone:24:36", "card:15:34", "phone:25:37", ""]
+    long = "someone." * 20 + "x@localhost"
+    assert pii.candidates(f"mail {long} now", []) == [(5, 5 + len(long), 5, True)]
+
+
+def test_pii_unseen_do_not_count_against_a_pattern(spark):
+    """Four seeds and twenty unseen numbers in a context, all found; six misfits in another leave its unseen alone."""
+    t = [f"reach our desk at +1 (555) 010-{1000 + i} any time" for i in range(4)] + [f"reach our desk at 555-020-{2000 + i} any time" for i in range(20)]
+    t += [f"see also item +1 (555) 030-{1000 + i} there" for i in range(4)] + [f"see also item {12345 + i} there" for i in range(6)] + ["see also item 555-040-2001 there"]
+    got = [r["n_found"] for r in pii.find(docs(spark, t)).orderBy("doc_id").collect()]
+    assert got == [0] * 4 + [1] * 20 + [0] * 11
