@@ -5,8 +5,8 @@ Queries: every passage (``PASSAGE`` tokens, every ``STRIDE``) of every document.
 the sum of its terms' block maxima reaches the lowest threshold in the block; an opened block's items are scored
 exactly and all at or above their threshold are retrieved (``ALPHA`` of the score that the item's own passages reach).
 Verification: the share of the item's distinct five-token runs that stand in the document around the passage; an item
-leaks if that share is at least 0.8. The shares of the item's question (all but its last sentence, or its first half)
-and answer are returned beside it.
+leaks if that share is at least 0.8, or if that of its question (all but its last sentence, or its first half) is and
+any run of its answer, if it has one, stands there too. The three shares are returned.
 
 Index parts hold at most ``PART_ITEMS`` items and ``PART_TOKENS`` tokens each; parts are broadcast one by one, so what
 is broadcast at once has a bound whatever the size of the benchmark. A longer item is a part of its own.
@@ -125,7 +125,8 @@ class Index:
                 size, own = self.runs[k]
                 around = runs_of(h[max(0, starts[p] - int(self.sizes[k])) : ends[p] + int(self.sizes[k])], size)
                 shares = [np.isin(x, around).mean() if len(x) else 0.0 for x in (own, self.question[k], self.answer[k])]
-                if shares[0] >= OVERLAP and (k not in found or shares[0] > found[k][1]):
+                asked = shares[1] >= OVERLAP and (shares[2] > 0 or not len(self.answer[k]))
+                if (shares[0] >= OVERLAP or asked) and (k not in found or shares[0] > found[k][1]):
                     found[k] = (float(scores[k - block * BLOCK]), *map(float, shares))
         names = ("score", "overlap", "question", "answer")
         return [{"item_id": int(self.ids[k]), **dict(zip(names, v, strict=True))} for k, v in sorted(found.items(), key=lambda x: (self.ids[x[0]], x[0]))]

@@ -347,3 +347,13 @@ def test_pii_unseen_do_not_count_against_a_pattern(spark):
     t += [f"see also item +1 (555) 030-{1000 + i} there" for i in range(4)] + [f"see also item {12345 + i} there" for i in range(6)] + ["see also item 555-040-2001 there"]
     got = [r["n_found"] for r in pii.find(docs(spark, t)).orderBy("doc_id").collect()]
     assert got == [0] * 4 + [1] * 20 + [0] * 11
+
+
+def test_question_with_a_part_of_its_answer_leaks(spark):
+    """The whole question with the beginning of a long answer leaks; the question alone, or half of it, doesn't."""
+    rng = random.Random(16)
+    question, answer = prose(rng, 30) + ".", prose(rng, 30)
+    bench = spark.createDataFrame([(0, f"{question} {answer}")], "item_id bigint, text string")
+    half = " ".join(answer.split()[:14])
+    got = [len(r["leaks"]) for r in decontamination.find_leaks(docs(spark, [f"{question} {half} {prose(rng, 40)}", question, " ".join(question.split()[:15]) + f" {half}"]), bench).orderBy("doc_id").collect()]
+    assert got == [1, 0, 0]
