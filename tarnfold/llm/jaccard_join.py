@@ -1,6 +1,7 @@
 """N-gram Jaccard join: an exact join in the metric space of shingle sets, by pivots, Voronoi regions and windows.
 
-1. Texts with equal sets form a class; one member stands for it. Class ids are 64-bit sums over a set's mixed hashes.
+1. Texts with equal sets form a class; one member stands for it. Class ids are 64-bit sums over a set's mixed hashes; a
+   second such sum beside them tells unlike sets apart that share an id, so only 128 equal bits make a class.
 2. Between unlike texts every Jaccard distance is 1, so pivots drawn from the whole corpus would tell nothing apart.
    The first pivots are therefore chosen through shared shingles: sets A and B with J(A, B) >= t share one of the first
    ``n - ceil(t n) + 1`` shingles of each, in any common order (rare ones first, by a corpus-wide count sketch). All
@@ -12,8 +13,14 @@
    than 1 - e have no home; they meet in a cell of their own with those beyond 1 - 2 e. Members within e of a pivot are
    linked to it, and to each other through it, so a cell of such members only is finished; else only those are kept
    whose distance to the pivot lets them reach one of the others. Cells are joined in the same way again.
-4. Regions of at most ``LEAF`` members are joined directly. Cells that windows no longer shrink are cut into blocks
-   and joined block against block, which is exact too.
+4. Regions of at most ``LEAF`` members are joined inside a task by the same steps, pivots, cells and windows, down to
+   ``FEW`` members or cells that windows no longer shrink, whose sets meet directly.
+5. Larger cells that windows no longer shrink (more than ``SHRINK`` of their parent, or deeper than ``DEPTH``) are cut
+   into blocks and joined block against block: exact too, but the work grows with the square of such a cell's members.
+   Regions of more than ``PRUNE`` members go to the pivots without a look at the profiles: that changes work only.
+
+What moves between executors: a count of each anchor; a bitmap of the repeated ones (``bitmaps.BITS``) then lets little
+more than those through to their regions; profiles and texts move for the classes that a region still holds.
 
 Only a spanning forest of the links leaves a region; components follow by star steps. A region's members are dealt out
 in parts of ``PART`` with a copy of the pivots, so no group meets in one task, and nothing is capped or dropped.
@@ -33,29 +40,39 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnfold.llm import bitmaps
 from tarnfold.llm.components import connected_components
 from tarnfold.llm.scratch import Scratch
 from tarnfold.llm.words import mix, shingles
 
 PERCENT = 80
 LEAF = 192
+#: Sets that meet directly.
+FEW = 8
 PIVOTS = 12
-PART = 1024
+PART = 256
 DEPTH = 6
 #: A cell with more than this share of its parent's members is joined in blocks.
 SHRINK = 0.7
 SKETCH_BITS = 22
 PROFILE = 128
 #: Larger regions go to the pivots without a look at the profiles.
-PRUNE = 4096
+PRUNE = 1024
 #: Members of a block where blocks are joined.
 BLOCK = 512
+#: Rows of a few numbers that are broadcast to the texts, 10 MB or so; more are shuffled with them.
+SENT_ROWS = 200_000
 _CHUNK_BITS = 16
 
 
-def class_id(s: np.ndarray) -> int:
+def class_id(s: np.ndarray, salt: int = 0x5851F42D4C957F2D) -> int:
     """Signed 64-bit id of a set of shingles."""
-    return int(np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64).astype(np.int64))
+    return int(np.sum(mix(s ^ np.uint64(salt)), dtype=np.uint64).astype(np.int64))
+
+
+def check_id(s: np.ndarray) -> int:
+    """A second id, independent of the first."""
+    return class_id(s, 0x14057B7EF767814F)
 
 
 def linked(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT):
@@ -63,8 +80,17 @@ def linked(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, pe
 
 
 def profile(s: np.ndarray) -> np.ndarray:
-    """Number of a set's shingles in each of PROFILE buckets, 255 at most; profiles differ by no more than the sets do."""
-    return np.minimum(np.bincount((s & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8)
+    """Number of a set's shingles in each of its buckets, 255 at most; profiles differ by no more than the sets do.
+
+    A power of two of buckets, about a quarter of the set's size: so also large unlike sets differ by enough.
+    """
+    buckets = max(PROFILE, 1 << max(len(s) // 4, 1).bit_length() - 1)
+    return np.minimum(np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
+
+
+def folded(p: np.ndarray, buckets: int) -> np.ndarray:
+    """The same counts in fewer buckets (the last axis); still no two differ by more than the sets."""
+    return p.reshape(*p.shape[:-1], -1, buckets).sum(axis=-2, dtype=np.int32) if p.shape[-1] != buckets else p.astype(np.int32)
 
 
 class Union:
@@ -112,18 +138,72 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _forest(ids: list[int], roots: list[int], sets: list[np.ndarray], side: list[int] | None = None) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links; ``roots`` tells what is connected already, ``side`` lets only unlike sides meet."""
-    n = np.array([len(s) for s in sets], np.int64)
-    ok = linked(intersections(sets), n[:, None], n[None, :])
-    known = np.array(roots)
-    ok &= known[:, None] != known[None, :]
+def _direct(members: list[int], sets: list[np.ndarray], near: Union, side: list[int] | None = None) -> Iterator[tuple[int, int]]:
+    """Links of some members with each other that connect what ``near`` doesn't yet; ``side`` lets only unlike sides meet."""
+    own = [sets[i] for i in members]
+    n = np.array([len(s) for s in own], np.int64)
+    ok = linked(intersections(own), n[:, None], n[None, :])
     if side is not None:
-        ok &= np.array(side)[:, None] != np.array(side)[None, :]
-    near = Union(len(ids))
+        sides = np.array([side[i] for i in members])
+        ok &= sides[:, None] != sides[None, :]
     for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
-        if near.join(int(i), int(j)):
-            yield ids[i], ids[j]
+        if near.join(members[int(i)], members[int(j)]):
+            yield members[int(i)], members[int(j)]
+
+
+def _overlaps(pivot: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of one set with each of several, laid end to end."""
+    at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
+    return np.add.reduceat((pivot[at] == flat).astype(np.int64), starts)
+
+
+def _by_pivots(sets: list[np.ndarray], near: Union) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links of a task's region: pivots, Voronoi cells with their windows, cells joined again."""
+    e = 1 - PERCENT / 100
+    size = np.array([len(s) for s in sets], np.int64)
+    todo = [(list(range(len(sets))), 1 << 62)]
+    while todo:
+        members, was = todo.pop()
+        m = len(members)
+        if m < 2:
+            continue
+        if m <= FEW or m > SHRINK * was:
+            yield from _direct(members, sets, near)
+            continue
+        # Members that nothing is connected to yet make the better pivots; those evenly spaced in order of size.
+        spread = sorted(members, key=lambda i: (near.root(i) != i, size[i], i))
+        count = min(PIVOTS, max(2, m // FEW))
+        pivots = sorted({spread[k * (m - 1) // max(count - 1, 1)] for k in range(count)})
+        rest = [i for i in members if i not in pivots]
+        flat, n = np.concatenate([sets[i] for i in rest]), size[rest]
+        starts = np.cumsum(n) - n
+        inter = np.stack([_overlaps(sets[p], flat, starts) for p in pivots])
+        sizes = size[pivots][:, None]
+        d = 1 - inter / (n + sizes - inter)
+        yield from _direct(pivots, sets, near)
+        for k, j in zip(*np.nonzero(linked(inter, n, sizes)), strict=True):
+            if near.join(pivots[int(k)], rest[int(j)]):
+                yield pivots[int(k)], rest[int(j)]
+        home = d.min(axis=0)
+        root = np.array([near.root(i) for i in rest])
+        for k, p in enumerate(pivots):
+            inside = (d[k] < 1) & (d[k] <= home + 2 * e + 1e-9)
+            core = root == near.root(p)
+            if (open_ := inside & ~core).any():
+                low, high = d[k][open_].min(), d[k][open_].max()
+                inside &= ~core | ((d[k] >= low - e - 1e-9) & (d[k] <= high + e + 1e-9))
+                todo.append(([rest[int(j)] for j in np.flatnonzero(inside)], m))
+        todo.append(([rest[int(j)] for j in np.flatnonzero(home >= 1 - 2 * e - 1e-9)], m))
+
+
+def region_links(ids: list[int], roots: list[int], sets: list[np.ndarray], side: list[int] | None = None) -> Iterator[tuple[int, int]]:
+    """A spanning forest of a region's links; ``roots`` tells what is connected already, ``side`` parts two blocks."""
+    near, first = Union(len(ids)), {}
+    for i, r in enumerate(roots):
+        near.join(i, first.setdefault(r, i))
+    found = _by_pivots(sets, near) if side is None else _direct(list(range(len(ids))), sets, near, side)
+    for i, j in found:
+        yield ids[i], ids[j]
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -142,22 +222,23 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
 
 
 def describe(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, n, cid`` of every row, and for each bucket of shingles the logarithm of its count in the corpus."""
+    """``doc_id, n, cid, check`` of every row, and for each bucket of shingles the logarithm of its count in the corpus."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for pdf in batches:
-            n, ids = [], []
+            n, ids, checks = [], [], []
             for text in pdf["text"]:
                 s = shingles(text or b"")
                 n.append(len(s))
                 ids.append(class_id(s) if len(s) else None)
+                checks.append(check_id(s) if len(s) else None)
                 np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "cid": pd.array(ids, "Int64"), "chunk": None, "counts": None})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "cid": pd.array(ids, "Int64"), "check": pd.array(checks, "Int64"), "chunk": None, "counts": None})
         if counts.any():
             parts = counts.reshape(-1, 1 << _CHUNK_BITS)
-            yield pd.DataFrame({"doc_id": None, "n": 0, "cid": None, "chunk": range(len(parts)), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
+            yield pd.DataFrame({"doc_id": None, "n": 0, "cid": None, "check": None, "chunk": range(len(parts)), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << _CHUNK_BITS, np.float64)
@@ -165,26 +246,32 @@ def describe(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndar
             total += np.frombuffer(zlib.decompress(c), np.uint32)
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "logs": [np.log2(total + 1).astype(np.uint8).tobytes()]})
 
-    made = documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(read, f"doc_id {kind}, n bigint, cid bigint, chunk int, counts binary")
+    made = documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(read, f"doc_id {kind}, n bigint, cid bigint, check bigint, chunk int, counts binary")
     table = scratch.table(made, "described")
     # A row for each task and chunk; the sums have 2**SKETCH_BITS bytes whatever the input.
     logs = np.zeros(1 << SKETCH_BITS, np.uint8).reshape(-1, 1 << _CHUNK_BITS)
     for r in table.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, logs binary").collect():
         logs[r["chunk"]] = np.frombuffer(r["logs"], np.uint8)
-    return table.where("chunk is null").select("doc_id", "n", "cid"), logs.reshape(-1)
+    return table.where("chunk is null").select("doc_id", "n", "cid", "check"), logs.reshape(-1)
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    """``text, one, two``: whole texts as bytes, with a key of 128 bits."""
+    text = F.col("text").cast("binary")
+    return documents.select(text.alias("text"), F.xxhash64(text).alias("one"), F.xxhash64(F.lit(1), text).alias("two"))
 
 
 def with_anchors(documents: DataFrame, logs: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """``cid, n, anchors, text, profile``: a task's classes, each once."""
+    """``cid, check, n, anchors, profile, one, two``: a task's classes, each once, with the key of one of its texts."""
     shared = documents.sparkSession.sparkContext.broadcast(logs)  # 2**SKETCH_BITS bytes
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank, seen = shared.value, set()
         for pdf in batches:
             out = []
-            for text in pdf["text"]:
+            for text, one, two in zip(pdf["text"], pdf["one"], pdf["two"], strict=True):
                 s = shingles(text or b"")
-                if not len(s) or (cid := class_id(s)) in seen:
+                if not len(s) or (cid := (class_id(s), check_id(s))) in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -195,10 +282,42 @@ def with_anchors(documents: DataFrame, logs: np.ndarray, percent: int = PERCENT)
                     anchors = s[order[:prefix]]
                 else:
                     anchors = s
-                out.append((cid, len(s), anchors.view(np.int64), text, profile(s).tobytes()))
-            yield pd.DataFrame(out, columns=["cid", "n", "anchors", "text", "profile"])
+                out.append((*cid, len(s), anchors.view(np.int64), profile(s).tobytes(), one, two))
+            yield pd.DataFrame(out, columns=["cid", "check", "n", "anchors", "profile", "one", "two"])
+
+    return _keyed(documents).mapInPandas(read, "cid bigint, check bigint, n bigint, anchors array<bigint>, profile binary, one bigint, two bigint")
+
+
+def texts_of(documents: DataFrame, classes: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
+    """``cid, text`` of the classes of ``kept``, at least once each and at most once a task."""
+    held = bitmaps.holding(classes.select("cid", "one", "two"), "cid", scratch.table(bitmaps.pages(kept, "cid"), "kept-ids"))
+    one = held.groupBy("cid").agg(F.min(F.struct("one", "two")).alias("key")).join(kept.select("cid").distinct(), "cid")
+    one = scratch.table(one.select("cid", F.col("key.one").alias("_one"), F.col("key.two").alias("_two")), "keys")
+    found = bitmaps.holding(_keyed(documents), "one", scratch.table(bitmaps.pages(one, "_one"), "kept-keys"))
+    found = found.join(_bounded(one), (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))).select("cid", "text")
+
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for pdf in batches:
+            fresh = ~(pdf["cid"].duplicated() | pdf["cid"].isin(seen))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.update(pdf["cid"])
+            yield pdf[fresh]
 
-    return documents.select(F.col("text").cast("binary").alias("text")).mapInPandas(read, "cid bigint, n bigint, anchors array<bigint>, text binary, profile binary")
+    return found.mapInPandas(once, "cid bigint, text binary")
+
+
+def apart(df: DataFrame, clash: DataFrame) -> DataFrame:
+    """Unlike sets with one id (some hundred among 1e11) get an id of both sums; ``clash``: such ids."""
+    marked = clash.select(F.col("cid").alias("_clash"))
+    cid = F.when(F.col("_clash").isNotNull(), F.xxhash64("cid", "check")).otherwise(F.col("cid"))
+    return df.join(marked, F.col("cid") == F.col("_clash"), "left").withColumn("cid", cid).drop("_clash")
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, broadcast if a count shows that it is small, else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
 def _sorted_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -209,10 +328,10 @@ def _stream(f: Callable, schema: str, rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(f, schema)
 
 
-def _near(p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Rows whose profiles let the sets be linked."""
+def _near(p: np.ndarray, q: np.ndarray, n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray:
+    """Rows whose sizes and profiles (of as many buckets) let the sets be linked."""
     t = PERCENT / 100
-    return np.abs(p.astype(np.int16) - q).sum(axis=-1) <= (1 - t) / (1 + t) * (n + m) + 1e-6
+    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.abs(p.astype(np.int32) - q).sum(axis=-1) <= (1 - t) / (1 + t) * (n + m) + 1e-6)
 
 
 def merge_regions(members: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -221,26 +340,44 @@ def merge_regions(members: DataFrame, profiles: DataFrame) -> DataFrame:
     A region may be joined with any other without loss, so nothing depends on the choice but the work.
     """
     leaders = members.select(F.col("region").alias("cid")).distinct()
-    pairs = members.where("region <> cid").join(leaders, "cid", "left_semi").select("cid", "n", "region")
-    one = profiles.select(F.col("_cid").alias("cid"), F.col("profile").alias("p"))
+    pairs = members.where("region <> cid").join(leaders, "cid", "left_semi").select("cid", "region")
+    one = profiles.select(F.col("_cid").alias("cid"), F.col("profile").alias("p"), F.col("_n").alias("n"))
     two = profiles.select(F.col("_cid").alias("region"), F.col("profile").alias("q"), F.col("_n").alias("m"))
     pairs = pairs.join(one, "cid").join(two, "region")
 
     def like(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                p, q = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, PROFILE) for c in "pq")
-                yield pdf.loc[_near(p, q, pdf["n"].to_numpy(), pdf["m"].to_numpy()), ["cid", "region"]]
+            keep = []
+            for p, q, n, m in zip(pdf["p"], pdf["q"], pdf["n"], pdf["m"], strict=True):
+                buckets = min(len(p), len(q))
+                p, q = (folded(np.frombuffer(x, np.uint8), buckets) for x in (p, q))
+                keep.append(bool(_near(p, q, n, m)))
+            yield pdf.loc[keep, ["cid", "region"]]
 
     to = pairs.mapInPandas(like, "cid bigint, region bigint").groupBy("cid").agg(F.min("region").alias("to"))
     first = to.select(F.col("cid").alias("a"), F.col("to").alias("b"))
     jump = to.select(F.col("cid").alias("b"), F.col("to").alias("c"))
     moved = first.join(jump, "b", "left").select(F.col("a").alias("region"), F.coalesce("c", "b").alias("_to"))
-    return members.join(moved, "region", "left").select(F.coalesce("_to", "region").alias("region"), "cid", "n").distinct()
+    return members.join(moved, "region", "left").select(F.coalesce("_to", "region").alias("region"), "cid").distinct()
+
+
+def _alike(profiles: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of a bounded number of sets whose sizes and profiles let them be linked."""
+    kinds: dict[int, list[int]] = {}
+    for i, p in enumerate(profiles):
+        kinds.setdefault(len(p), []).append(i)
+    for buckets, own in kinds.items():
+        # Linked sets' sizes differ by a quarter at most, so their profiles by one doubling.
+        tables = [(np.array(rows), np.stack([folded(profiles[i], buckets) for i in rows])) for rows in (own, kinds.get(2 * buckets, [])) if rows]
+        for k, i in enumerate(own):
+            for rows, table in tables:
+                start = k + 1 if rows[0] == own[0] else 0
+                for j in np.flatnonzero(_near(table[start:], folded(profiles[i], buckets), sizes[rows[start:]], sizes[i])):
+                    yield i, int(rows[start + j])
 
 
 def prune(rows: DataFrame) -> DataFrame:
-    """Splits regions of at most PRUNE members by what profiles rule out: rows ``region, cid, n, profile`` to ``region, cid, n``.
+    """Splits regions of at most PRUNE members by what profiles rule out: rows ``region, cid, n, profile`` to ``region, cid``.
 
     Linked sets A, B differ in at most (|A| + |B|) / 9 shingles (for t = 0.8), their profiles in no more. Members that
     no chain of such pairs connects go apart, lonely ones go; parts with the same members become one region.
@@ -249,29 +386,26 @@ def prune(rows: DataFrame) -> DataFrame:
         for_all = []
         for _, group in _groups(batches, ["region"]):
             once = list({r.cid: r for r in group}.values())
-            n = np.array([r.n for r in once], np.int64)
-            p = np.frombuffer(b"".join(r.profile for r in once), np.uint8).reshape(len(once), PROFILE)
             near = Union(len(once))
-            for i in range(len(once) - 1):
-                for j in np.flatnonzero(_near(p[i + 1 :], p[i], n[i + 1 :], n[i])):
-                    near.join(i, i + 1 + int(j))
+            for i, j in _alike([np.frombuffer(r.profile, np.uint8) for r in once], np.array([r.n for r in once], np.int64)):
+                near.join(i, j)
             parts: dict[int, list] = {}
             for i, r in enumerate(once):
                 parts.setdefault(near.root(i), []).append(r)
             for part in parts.values():
                 if len(part) > 1:
                     region = class_id(np.array([r.cid for r in part], np.int64).view(np.uint64))
-                    for_all += [(region, r.cid, r.n) for r in part]
+                    for_all += [(region, r.cid) for r in part]
             if len(for_all) > 10_000:
-                yield pd.DataFrame(for_all, columns=["region", "cid", "n"])
+                yield pd.DataFrame(for_all, columns=["region", "cid"])
                 for_all = []
-        yield pd.DataFrame(for_all, columns=["region", "cid", "n"], dtype="int64")
+        yield pd.DataFrame(for_all, columns=["region", "cid"], dtype="int64")
 
-    return _stream(work, "region bigint, cid bigint, n bigint", _sorted_rows(rows, ["region"], ["cid"])).distinct()
+    return _stream(work, "region bigint, cid bigint", _sorted_rows(rows, ["region"], ["cid"])).distinct()
 
 
 def join_leaves(rows: DataFrame) -> DataFrame:
-    """Edges ``a, b`` of regions of bounded size: rows ``region, root, cid, side, text``, sides null unless blocks meet."""
+    """Edges ``a, b`` of regions of bounded size: rows ``region, root, cid, side, text``, sides below 0 unless two blocks meet."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int]] = []
@@ -279,7 +413,7 @@ def join_leaves(rows: DataFrame) -> DataFrame:
             once = list({r.cid: r for r in group}.values())
             if len(once) > 1:
                 sides = None if once[0].side < 0 else [r.side for r in once]
-                out += _forest([r.cid for r in once], [r.root for r in once], [shingles(r.text) for r in once], sides)
+                out += region_links([r.cid for r in once], [r.root for r in once], [shingles(r.text) for r in once], sides)
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=["a", "b"])
                 out = []
@@ -289,15 +423,15 @@ def join_leaves(rows: DataFrame) -> DataFrame:
 
 
 def to_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Distances to a region's pivots: ``region, cid, n, root, near, far, cells, d``.
+    """Distances to a region's pivots: ``region, cid, root, near, far, cells, d``.
 
-    ``members``: region, part, cid, n, root, text. ``pivots``: region, part, cid, text, for every part of the region.
+    ``members``: region, part, cid, root, text. ``pivots``: region, part, cid, text, for every part of the region.
     ``near``: pivots linked to the member; ``cells`` and ``d``: pivots within the window and the distances to them;
     ``far``: no pivot is nearer than 1 - 2 e.
     """
     e = 1 - PERCENT / 100
-    both = pivots.select("region", "part", F.lit(0).alias("kind"), "cid", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("root"), "text").unionByName(
-        members.select("region", "part", F.lit(1).alias("kind"), "cid", "n", "root", "text")
+    both = pivots.select("region", "part", F.lit(0).alias("kind"), "cid", F.lit(0).cast("long").alias("root"), "text").unionByName(
+        members.select("region", "part", F.lit(1).alias("kind"), "cid", "root", "text")
     )
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -321,10 +455,10 @@ def to_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
                 home = int(np.argmin(d))
                 near = [k for k in range(len(held)) if ok[k]]
                 cells = [k for k in range(len(held)) if d[k] < 1 and d[k] <= d[home] + 2 * e + 1e-9]
-                out.append((r.region, r.cid, r.n, r.root, sorted(held[k][0] for k in near), bool(d[home] >= 1 - 2 * e - 1e-9), [held[k][0] for k in cells], [float(d[k]) for k in cells]))
-            yield pd.DataFrame(out, columns=["region", "cid", "n", "root", "near", "far", "cells", "d"])
+                out.append((r.region, r.cid, r.root, sorted(held[k][0] for k in near), bool(d[home] >= 1 - 2 * e - 1e-9), [held[k][0] for k in cells], [float(d[k]) for k in cells]))
+            yield pd.DataFrame(out, columns=["region", "cid", "root", "near", "far", "cells", "d"])
 
-    return _stream(work, "region bigint, cid bigint, n bigint, root bigint, near array<bigint>, far boolean, cells array<bigint>, d array<double>", _sorted_rows(both, ["region", "part"], ["kind", "cid"]))
+    return _stream(work, "region bigint, cid bigint, root bigint, near array<bigint>, far boolean, cells array<bigint>, d array<double>", _sorted_rows(both, ["region", "part"], ["kind", "cid"]))
 
 
 def _sized(regions: DataFrame) -> DataFrame:
@@ -333,12 +467,12 @@ def _sized(regions: DataFrame) -> DataFrame:
 
 
 def join_regions(regions: DataFrame, texts: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """Edge tables of all regions: rows ``region, cid, n, root`` (root: what a member is known to be linked to)."""
+    """Edge tables of all regions: rows ``region, cid, root`` (root: what a member is known to be linked to)."""
     edges: list[DataFrame] = []
     texts = texts.select(F.col("cid").alias("_cid"), "text")
 
     def told(df: DataFrame) -> DataFrame:
-        return df.join(texts, F.col("cid") == F.col("_cid")).drop("_cid")
+        return texts.join(_bounded(df), F.col("cid") == F.col("_cid")).drop("_cid")
 
     level = 0
     while True:
@@ -397,13 +531,13 @@ def next_cells(measured: DataFrame, roots: DataFrame, parents: DataFrame) -> Dat
 
     left = measured.where(~F.array_contains("near", F.col("cid"))).withColumn("first", F.when(F.size("near") > 0, F.col("near")[0]))
     left = rooted(left, "first").withColumn("newroot", F.coalesce("proot", "root")).drop("proot", "first")
-    inside = left.select("region", "cid", "n", F.col("newroot").alias("root"), F.explode(F.arrays_zip("cells", "d")).alias("c"))
-    inside = rooted(inside.select("region", "cid", "n", "root", F.col("c.cells").alias("pivot"), F.col("c.d").alias("d")), "pivot")
-    inside = inside.select(F.col("region").alias("parent"), F.xxhash64("region", "pivot").alias("region"), "cid", "n", "root", "d", (F.col("root") == F.col("proot")).alias("core"))
+    inside = left.select("region", "cid", F.col("newroot").alias("root"), F.explode(F.arrays_zip("cells", "d")).alias("c"))
+    inside = rooted(inside.select("region", "cid", "root", F.col("c.cells").alias("pivot"), F.col("c.d").alias("d")), "pivot")
+    inside = inside.select(F.col("region").alias("parent"), F.xxhash64("region", "pivot").alias("region"), "cid", "root", "d", (F.col("root") == F.col("proot")).alias("core"))
     rest = inside.where(~F.col("core")).groupBy("region").agg(F.min("d").alias("low"), F.max("d").alias("high"))
     inside = inside.join(rest, "region").where(~F.col("core") | F.col("d").between(F.col("low") - e - 1e-9, F.col("high") + e + 1e-9))
-    none = left.where("far").select(F.col("region").alias("parent"), F.xxhash64("region", F.lit("none")).alias("region"), "cid", "n", F.col("newroot").alias("root"))
-    cells = inside.select("parent", "region", "cid", "n", "root").unionByName(none)
+    none = left.where("far").select(F.col("region").alias("parent"), F.xxhash64("region", F.lit("none")).alias("region"), "cid", F.col("newroot").alias("root"))
+    cells = inside.select("parent", "region", "cid", "root").unionByName(none)
     open_ = cells.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("region")
     return cells.join(open_, "region").join(parents.select(F.col("region").alias("parent"), F.col("members").alias("was")), "parent").drop("parent")
 
@@ -414,7 +548,8 @@ def blocks(large: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("cid", F.lit("block")), F.col("count")).cast("int")
     dealt = large.withColumn("count", count).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
     pair = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
-    return dealt.select(pair.alias("region"), "root", "cid", F.lit(-1).alias("side"))
+    side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
+    return dealt.select(pair.alias("region"), "root", "cid", side.alias("side"))
 
 
 def join(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -423,21 +558,30 @@ def join(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     described, logs = describe(documents.select("doc_id", "text"), scratch)
     classes = scratch.table(with_anchors(documents.select("text"), logs, percent), "classes")
-    anchored = classes.select("cid", "n", F.explode("anchors").alias("anchor"))
-    # One row for each anchor that two classes share; summed before the shuffle, so frequent ones cost little.
-    leaders = scratch.table(anchored.groupBy("anchor").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader <> last").select("anchor", "leader"), "leaders")
-    scratch.drop()
-    members = anchored.join(leaders, "anchor").select(F.col("leader").alias("region"), "cid", "n").distinct()
-    members = scratch.table(members, "shared")
-    scratch.drop("leaders")
+    per = described.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high"))
+    per = scratch.table(per, "per")
+    clash = per.where("low <> high").select("cid")
+    if not clash.isEmpty():
+        described, classes = (scratch.table(apart(df, clash), name) for df, name in ((described, "described-apart"), (classes, "classes-apart")))
+        per = scratch.table(described.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first")), "per-apart")
+    anchored = classes.select("cid", F.explode("anchors").alias("anchor"))
+    # Counts are summed before the shuffle, so a frequent anchor costs little; the bitmap lets the few repeated ones through.
+    repeated = anchored.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = scratch.table(bitmaps.holding(anchored, "anchor", scratch.table(bitmaps.pages(repeated, "anchor"), "repeated")), "shared")
+    leaders = shared.groupBy("anchor").agg(F.min("cid").alias("region"), F.max("cid").alias("last")).where("region <> last").select("anchor", "region")
+    members = scratch.table(shared.join(leaders, "anchor").select("region", "cid").distinct(), "first-members")
+    scratch.drop("repeated", "shared")
     # A class read in several tasks has a row for each.
-    profiles = scratch.table(classes.select(F.col("cid").alias("_cid"), F.col("n").alias("_n"), "profile").dropDuplicates(["_cid"]), "profiles")
+    profiles = classes.select(F.col("cid").alias("_cid"), F.col("n").alias("_n"), "profile")
+    profiles = scratch.table(bitmaps.holding(profiles, "_cid", scratch.table(bitmaps.pages(members, "cid"), "member-ids")).dropDuplicates(["_cid"]), "profiles")
     members = scratch.table(_sized(scratch.table(merge_regions(members, profiles), "merged")), "sized")
-    scratch.drop("shared", "merged")
-    pruned = prune(members.where(F.col("members") <= PRUNE).join(profiles, F.col("cid") == F.col("_cid")).select("region", "cid", "n", "profile"))
-    kept = scratch.table(pruned.unionByName(members.where(F.col("members") > PRUNE).select("region", "cid", "n")), "members")
-    texts = scratch.table(classes.select("cid", "text").join(kept.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "texts")
-    scratch.drop("classes", "sized", "profiles")
+    scratch.drop("first-members", "member-ids", "merged")
+    described_members = members.where(F.col("members") <= PRUNE).join(profiles, F.col("cid") == F.col("_cid"))
+    pruned = prune(described_members.select("region", "cid", F.col("_n").alias("n"), "profile"))
+    kept = scratch.table(pruned.unionByName(members.where(F.col("members") > PRUNE).select("region", "cid")), "members")
+    scratch.drop("sized", "profiles")
+    texts = scratch.table(texts_of(documents.select("text"), classes, kept, scratch), "texts")
+    scratch.drop("classes", "classes-apart", "kept-ids", "kept-keys", "keys")
     regions = kept.withColumn("root", F.col("cid")).withColumn("was", F.lit(1 << 62))
     found = join_regions(regions, texts, scratch)
     edges = found[0]
@@ -445,8 +589,7 @@ def join(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         edges = edges.unionByName(more)
     labels = connected_components(edges, scratch)
     scratch.drop("texts", "members")
-    first = described.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"))
-    placed = first.join(labels, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
+    placed = per.select("cid", "first").join(labels, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     best = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     named = placed.join(best, "component").select(F.col("cid").alias("_cid"), "component_id")
     out = described.join(named, F.col("cid") == F.col("_cid"), "left")
