@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfold.sources import Workspace
+
 
 def anti_join(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     """Rows of ``left`` without a match; null keys never match, so they stay."""
@@ -53,3 +55,26 @@ def one_hot(df: DataFrame, column: str, values: list, drop_first: bool = True) -
 
 def unpivot(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
     return df.unpivot(ids, columns, "variable", "value")
+
+
+def with_index(df: DataFrame, order: list[Column], work: Workspace, name: str = "numbered", out: str = "_index") -> DataFrame:
+    """Rows numbered from 0 in a total order: range partitions are sorted beside each other, their sizes give the offsets."""
+    placed = work.table(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.max(row).alias("_last"))  # a row a partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), part == F.col("_part")).withColumn(out, F.col("_start") + row).drop("_at", "_part", "_start")
+
+
+def align_rows(left: DataFrame, left_order: list[Column], right: DataFrame, right_order: list[Column], work: Workspace) -> DataFrame:
+    """Row k of one frame beside row k of the other; rows without a partner go."""
+    a = with_index(left, left_order, work, "left")
+    b = with_index(right, right_order, work, "right", "_other")
+    return a.join(b, F.col("_index") == F.col("_other")).drop("_other").withColumnRenamed("_index", "position")
+
+
+def transpose(df: DataFrame, row: str, values: list[str], columns: list) -> DataFrame:
+    """``variable`` and a column for each of the given ``row`` values: what stood in row r, column v stands in row v, column r."""
+    long = df.unpivot([row], values, "variable", "value")
+    return long.groupBy("variable").pivot(row, columns).agg(F.first("value"))

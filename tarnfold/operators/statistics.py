@@ -102,3 +102,60 @@ def feedback_forecast(df: DataFrame, key: str, order: str, value: str, lags: int
         return pd.DataFrame({"key": pdf[key].iloc[0], "step": range(1, steps + 1), "forecast": out})
 
     return df.select(key, order, value).groupBy(key).applyInPandas(run, f"key {kind}, step bigint, forecast double")
+
+
+def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """``label, precision, recall, f1, support, accuracy, misclassified``: a row a class, from one sum over the pairs.
+
+    A class that is never predicted has precision 0, one that never occurs recall 0.
+    """
+    pairs = df.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    hit = F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0))
+    every = pairs.agg(F.sum("n").alias("all"), hit.alias("hits"))
+    sides = F.array(F.struct(F.col("t").alias("label"), F.lit(True).alias("true")), F.struct(F.col("p").alias("label"), F.lit(False).alias("true")))
+    each = pairs.select("t", "p", "n", F.explode(sides).alias("x")).select("t", "p", "n", "x.*")
+    per = each.groupBy("label").agg(
+        F.sum(F.when(F.col("true"), F.col("n")).otherwise(0)).alias("support"),
+        F.sum(F.when(~F.col("true"), F.col("n")).otherwise(0)).alias("called"),
+        F.sum(F.when(F.col("true") & (F.col("t") == F.col("p")), F.col("n")).otherwise(0)).alias("right"),
+    )
+    zero = F.lit(0.0)
+    per = per.withColumn("precision", F.coalesce(F.try_divide("right", "called"), zero)).withColumn("recall", F.coalesce(F.try_divide("right", "support"), zero))
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), zero)
+    out = per.join(F.broadcast(every))  # one row
+    return out.select("label", "precision", "recall", f1.alias("f1"), "support", (F.col("hits") / F.col("all")).alias("accuracy"), (1 - F.col("hits") / F.col("all")).alias("misclassified"))
+
+
+def importance(df: DataFrame, target: str, columns: list[str]) -> list[tuple[str, float, float]]:
+    """``column, coefficient, importance``: least squares; importance is the size of the coefficient in standard deviations."""
+    model = ols(df, target, columns)
+    scale = df.agg(*[F.stddev_samp(c).alias(c) for c in [*columns, target]]).first()
+    return [(c, float(w), abs(float(w)) * scale[c] / scale[target]) for c, w in zip(columns, model.coefficients, strict=True)]
+
+
+def decode(one_hot: Column, labels: list) -> Column:
+    """The label of the greatest value of an array (ties: the first)."""
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position(one_hot, F.array_max(one_hot)).cast("int"))
+
+
+def train_loop(train: DataFrame, valid: DataFrame, feature: str, target: str, epochs: int = 20, rate: float = 0.3, patience: int = 2) -> tuple[list[tuple[int, float, float]], tuple[float, float]]:
+    """(epoch, training and validation error) and the best (slope, constant): gradient steps on the mean squared error.
+
+    It stops early once ``patience`` epochs bring no better validation error. An epoch is one sum over both parts.
+    """
+    both = train.select(F.col(feature).alias("x"), F.col(target).alias("y"), F.lit(True).alias("learn")).unionByName(valid.select(F.col(feature).alias("x"), F.col(target).alias("y"), F.lit(False).alias("learn")))
+    slope = constant = 0.0
+    log, best, kept, waited = [], float("inf"), (0.0, 0.0), 0
+    for epoch in range(epochs):
+        e = F.col("x") * slope + constant - F.col("y")
+        learn = F.when(F.col("learn"), e)
+        r = both.agg(F.avg(learn * F.col("x")).alias("gx"), F.avg(learn).alias("g"), F.avg(learn * learn).alias("error"), F.avg(F.when(~F.col("learn"), e * e)).alias("other")).first()
+        log.append((epoch, float(r["error"]), float(r["other"])))
+        if r["other"] < best:
+            best, kept, waited = r["other"], (slope, constant), 0
+        else:
+            waited += 1
+            if waited >= patience:
+                break
+        slope, constant = slope - rate * 2 * r["gx"], constant - rate * 2 * r["g"]
+    return log, kept

@@ -35,7 +35,7 @@ def outflow(p: np.ndarray, green: np.ndarray, turns: np.ndarray) -> np.ndarray:
     last, first = p[-1], p[0]
     out = np.where(last <= BEST, flow(last), SPEED * BEST) * green
     room = np.where(first <= BEST, SPEED * BEST, flow(first))
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore"):
         out = np.minimum(out, np.min(np.where(turns > 0, room[None, :] / turns, np.inf), axis=1))
     out[list(EXITS)] = flow(last[list(EXITS)])
     return out

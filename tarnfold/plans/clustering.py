@@ -45,7 +45,7 @@ def majority_label(spark, sf):
     return C.majority(p, "cluster", "label").withColumn("share", F.round("share", 6))
 
 
-@query(f"SELECT a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(covar_samp(a.x, b.x), 7) + 0.0::DOUBLE AS covariance FROM ({_EACH}) a JOIN ({_EACH}) b ON a.vec_id = b.vec_id AND a.dim <= b.dim AND b.dim < 8 GROUP BY 1, 2")
+@query(f"SELECT a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(covar_samp(a.x, b.x), 7) + 0.0::DOUBLE AS covariance FROM ({_EACH}) a JOIN ({_EACH}) b ON a.vec_id = b.vec_id AND a.dim <= b.dim GROUP BY 1, 2")
 def pca_covariance(spark, sf):
     """Covariances of all dimensions: pairs of a row's values, summed before the shuffle."""
     each = points(spark, sf).select("features", F.posexplode("features").alias("i", "x"))
@@ -66,10 +66,10 @@ def pca_two_components(spark, sf):
 
 @query()
 def kmeans_silhouette(spark, sf):
-    """Silhouette (squared Euclidean) for k = 2..5."""
+    """Silhouette for k = 2..10, by squared Euclidean distances: those need sums by cluster, plain ones all pairs of points."""
     p = S.Workspace(spark, "kmeans").table(points(spark, sf).select("id", "features"), "points").select("id", array_to_vector("features").alias("features"))
     rows = []
-    for k in range(2, 6):
+    for k in range(2, 11):
         made = KMeans(k=k, seed=1).fit(p).transform(p)
         rows.append((k, float(ClusteringEvaluator().evaluate(made))))
     return spark.createDataFrame(rows, "k int, silhouette double")
@@ -92,3 +92,10 @@ def bfr(spark, sf):
     found = work.table(found, "found")
     named = C.majority(found.join(p.select("id", "label"), "id"), "cluster", "label")
     return found.join(F.broadcast(named), "cluster", "left").select("id", F.col("cluster").alias("cluster_id"), "majority_label")
+
+
+@query()
+def bfr_rounds(spark, sf):
+    """Points in clusters, in compressed sets and retained, after each round."""
+    _, counts = C.bfr(points(spark, sf).select("id", "features"), S.Workspace(spark, "bfr"))
+    return spark.createDataFrame(counts, "round int, discarded bigint, compressed bigint, retained bigint")

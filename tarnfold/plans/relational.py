@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold import sources as S
 from tarnfold.functions import clamp
+from tarnfold.operators import ordered as O
 from tarnfold.operators import relational as R
 from tarnfold.plans.registry import query
 
@@ -119,7 +122,7 @@ def fill_nulls_cast(spark, sf):
     return h.select("o_orderkey", "priority", F.floor("price").cast("string").alias("price")).na.fill("na")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice > 60000 THEN NULL ELSE l_extendedprice END AS price, CASE WHEN l_quantity > 45 THEN NULL ELSE l_quantity END AS quantity FROM lineitem WHERE l_orderkey % 10 = 3")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice > 60000 THEN NULL ELSE l_extendedprice END AS price, CASE WHEN l_quantity > 45 THEN NULL ELSE l_quantity END AS quantity FROM lineitem")
 def conditional_null_out(spark, sf):
     line = S.table(spark, sf, "lineitem")
     return line.select("l_orderkey", "l_linenumber", F.when(~(F.col("l_extendedprice") > 60000), F.col("l_extendedprice")).alias("price"), F.when(~(F.col("l_quantity") > 45), F.col("l_quantity")).alias("quantity"))
@@ -253,7 +256,7 @@ def left_join_chain(spark, sf):
     return r.join(s, "item_id", "left").join(c, "user_id", "left").join(h, "user_id", "left")
 
 
-@query("SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS common FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey WHERE a.l_suppkey < 100 AND b.l_suppkey < 100 GROUP BY 1, 2 HAVING count(*) >= 5")
+@query("SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS common FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 5")
 def theta_self_join(spark, sf):
     return R.pair_overlap(S.table(spark, sf, "lineitem"), "l_suppkey", "l_partkey", 5)
 
@@ -323,3 +326,53 @@ def sink_text_report(spark, sf):
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def parse_json_field(spark, sf):
     return S.table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation")
+def scan_json_documents(spark, sf):
+    """One document a file, an array of records."""
+    nation = S.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return S.read_json_documents(spark, S.write_json_document(nation, S.Workspace(spark, "documents").path("nation")), "id int, name string")
+
+
+@query("SELECT page_id, length(html) AS n FROM pages")
+def scan_tree_directory(spark, sf):
+    """A directory of markup files, one a page."""
+    path = S.Workspace(spark, "trees").path("pages")
+    S.table(spark, sf, "pages").select("page_id", F.col("html").alias("value")).write.mode("overwrite").partitionBy("page_id").text(path)
+    trees = S.read_trees(spark, path)
+    return trees.select(F.regexp_extract("file", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), (F.length("markup") - 1).cast("long").alias("n"))  # the writer ends a file with a line break
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def sink_table(spark, sf):
+    """A table of the catalog, read again by its name."""
+    w = S.Workspace(spark, "catalog")
+    return S.write_table(S.table(spark, sf, "nation"), f"nation_{uuid.uuid4().hex}", w.path("nation"))
+
+
+@query("SELECT least(floor((c_acctbal + 1000) / 1100), 9)::BIGINT AS x, count(*) AS y FROM customer WHERE c_acctbal BETWEEN -1000 AND 10000 GROUP BY 1")
+def sink_chart(spark, sf):
+    """The points of a bar chart, as its document holds them."""
+    bars = O.histogram(S.table(spark, sf, "customer"), "c_acctbal", -1000, 10000, 10).select("bin", "n")
+    path = S.write_chart(bars, S.Workspace(spark, "chart").path("bars"), "bar", "bin", "n")
+    spec = spark.read.text(path).select(F.from_json("value", "data struct<values:array<struct<x:bigint,y:bigint>>>")["data"]["values"].alias("v"))
+    return spec.select(F.explode("v").alias("p")).select("p.x", "p.y")
+
+
+@query("WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS position FROM customer), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS position FROM part) SELECT position, c_custkey, p_partkey FROM a JOIN b USING (position)")
+def align_rows(spark, sf):
+    """The k-th richest customer beside the k-th dearest part."""
+    c, p = S.table(spark, sf, "customer").select("c_custkey", "c_acctbal"), S.table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    made = R.align_rows(c, [F.desc("c_acctbal"), F.asc("c_custkey")], p, [F.desc("p_retailprice"), F.asc("p_partkey")], S.Workspace(spark, "align"))
+    return made.select("position", "c_custkey", "p_partkey")
+
+
+_FLAGS = "SELECT l_returnflag AS f, round(sum(l_quantity), 2) AS quantity, round(sum(l_tax), 2) AS tax, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1"
+
+
+@query(f"WITH t AS ({_FLAGS}), l AS (SELECT f, 'quantity' AS variable, quantity AS v FROM t UNION ALL SELECT f, 'tax', tax FROM t UNION ALL SELECT f, 'n', n FROM t) SELECT variable, max(CASE WHEN f = 'A' THEN v END) AS a, max(CASE WHEN f = 'N' THEN v END) AS n, max(CASE WHEN f = 'R' THEN v END) AS r FROM l GROUP BY 1")
+def transpose(spark, sf):
+    """Sums by flag, a row a sum in place of a row a flag."""
+    sums = S.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_tax"), 2).alias("tax"), F.count(F.lit(1)).cast("double").alias("n"))
+    return R.transpose(sums, "l_returnflag", ["quantity", "tax", "n"], ["A", "N", "R"]).toDF("variable", "a", "n", "r")

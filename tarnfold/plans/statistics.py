@@ -44,9 +44,59 @@ def ols_summary(spark, sf):
     return spark.createDataFrame(rows, "term string, coefficient double, error double, t double, p double")
 
 
-@query()
+_VIF = "1 + 2 * q * w * e - q * q - w * w - e * e"
+
+
+@query(f"WITH c AS ({_CARS}), r AS (SELECT corr(quantity, retail) AS q, corr(quantity, size) AS w, corr(retail, size) AS e FROM c) SELECT 'quantity' AS column_name, round((1 - e * e) / ({_VIF}), 6) AS vif FROM r UNION ALL SELECT 'retail', round((1 - w * w) / ({_VIF}), 6) FROM r UNION ALL SELECT 'size', round((1 - q * q) / ({_VIF}), 6) FROM r")
 def variance_inflation(spark, sf):
-    return spark.createDataFrame(T.vif(cars(spark, sf), ["quantity", "retail", "size"]), "column_name string, vif double")
+    """In SQL the diagonal of the inverse of the correlation matrix."""
+    made = spark.createDataFrame(T.vif(cars(spark, sf), ["quantity", "retail", "size"]), "column_name string, vif double")
+    return made.withColumn("vif", F.round("vif", 6))
+
+
+@query(f"WITH c AS ({_CARS}), m AS (SELECT var_pop(quantity) AS a, var_pop(retail) AS b, covar_pop(quantity, retail) AS ab, covar_pop(quantity, log_price) AS ay, covar_pop(retail, log_price) AS by_, stddev_samp(quantity) AS sa, stddev_samp(retail) AS sb, stddev_samp(log_price) AS sy FROM c), w AS (SELECT *, (b * ay - ab * by_) / (a * b - ab * ab) AS wa, (a * by_ - ab * ay) / (a * b - ab * ab) AS wb FROM m) SELECT 'quantity' AS column_name, round(wa, 6) AS coefficient, round(abs(wa) * sa / sy, 6) AS importance FROM w UNION ALL SELECT 'retail', round(wb, 6), round(abs(wb) * sb / sy, 6) FROM w")
+def coefficient_importance(spark, sf):
+    rows = T.importance(cars(spark, sf), "log_price", ["quantity", "retail"])
+    made = spark.createDataFrame(rows, "column_name string, coefficient double, importance double")
+    return made.select("column_name", F.round("coefficient", 6).alias("coefficient"), F.round("importance", 6).alias("importance"))
+
+
+_GUESS = "SELECT l_returnflag AS truth, CASE WHEN l_quantity > 25 THEN 'A' WHEN l_discount > 0.05 THEN 'N' ELSE 'R' END AS predicted FROM lineitem"
+
+
+@query(f"WITH p AS ({_GUESS}), l AS (SELECT DISTINCT truth AS label FROM p UNION SELECT DISTINCT predicted FROM p), s AS (SELECT label, (SELECT count(*) FROM p WHERE truth = label) AS support, (SELECT count(*) FROM p WHERE predicted = label) AS called, (SELECT count(*) FROM p WHERE truth = label AND predicted = label) AS hit FROM l), a AS (SELECT avg((truth = predicted)::INTEGER) AS accuracy FROM p) SELECT label, round(coalesce(hit / nullif(called, 0), 0), 6) AS precision, round(coalesce(hit / nullif(support, 0), 0), 6) AS recall, round(coalesce(2 * hit / nullif(called + support, 0), 0), 6) AS f1, support, round(accuracy, 6) AS accuracy, round(1 - accuracy, 6) AS misclassified FROM s, a")
+def classification_report(spark, sf):
+    p = F.when(F.col("l_quantity") > 25, "A").when(F.col("l_discount") > 0.05, "N").otherwise("R")
+    made = T.classification_report(S.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("truth"), p.alias("predicted")), "truth", "predicted")
+    return made.select("label", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy", "misclassified")])
+
+
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("SELECT o_orderkey, o_orderpriority AS label FROM orders")
+def label_decode(spark, sf):
+    """Labels as 0/1 arrays, and back by the place of the greatest value."""
+    one_hot = F.array(*[(F.col("o_orderpriority") == x).cast("double") for x in _PRIORITIES])
+    coded = S.table(spark, sf, "orders").select("o_orderkey", one_hot.alias("coded"))
+    return coded.select("o_orderkey", T.decode(F.col("coded"), _PRIORITIES).alias("label"))
+
+
+_STEP = "SELECT epoch + 1 AS epoch, w - 0.3 * 2 * gx AS w, b - 0.3 * 2 * g AS b, least(best, other) AS best, CASE WHEN other < best THEN 0 ELSE wait + 1 END AS wait"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT (quantity - 25) / 15 AS x, log_price - 10 AS y, k % 5 > 0 AS learn FROM ({_CARS})),
+m AS (SELECT avg(x) FILTER (learn) AS x, avg(y) FILTER (learn) AS y, avg(x * x) FILTER (learn) AS xx, avg(x * y) FILTER (learn) AS xy, avg(y * y) FILTER (learn) AS yy, avg(x) FILTER (NOT learn) AS vx, avg(y) FILTER (NOT learn) AS vy, avg(x * x) FILTER (NOT learn) AS vxx, avg(x * y) FILTER (NOT learn) AS vxy, avg(y * y) FILTER (NOT learn) AS vyy FROM c),
+e AS (SELECT 0 AS epoch, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b, 'infinity'::DOUBLE AS best, 0 AS wait UNION ALL
+{_STEP} FROM (SELECT e.*, w * xx + b * x - xy AS gx, w * x + b - y AS g, w * w * vxx + 2 * w * b * vx + b * b - 2 * w * vxy - 2 * b * vy + vyy AS other FROM e, m) WHERE epoch < 19 AND (other < best OR wait < 1))
+SELECT epoch, round(w * w * xx + 2 * w * b * x + b * b - 2 * w * xy - 2 * b * y + yy, 5) AS error, round(w * w * vxx + 2 * w * b * vx + b * b - 2 * w * vxy - 2 * b * vy + vyy, 5) AS validation FROM e, m""")
+def training_loop(spark, sf):
+    """Gradient steps with a validation part, at most 20 epochs, early stop after two without a gain."""
+    c = cars(spark, sf).select(((F.col("quantity") - 25) / 15).alias("x"), (F.col("log_price") - 10).alias("y"), (F.col("k") % 5 > 0).alias("learn"))
+    c = S.Workspace(spark, "loop").table(c, "rows")
+    log, _ = T.train_loop(c.where("learn"), c.where("not learn"), "x", "y")
+    made = spark.createDataFrame(log, "epoch int, error double, validation double")
+    return made.select("epoch", F.round("error", 5).alias("error"), F.round("validation", 5).alias("validation"))
 
 
 @query(f"WITH c AS ({_CARS}) SELECT 'quantity' AS a, 'retail' AS b, round(corr(quantity, retail), 6) + 0.0::DOUBLE AS r FROM c UNION ALL SELECT 'quantity', 'size', round(corr(quantity, size), 6) + 0.0::DOUBLE FROM c UNION ALL SELECT 'quantity', 'price', round(corr(quantity, price), 6) + 0.0::DOUBLE FROM c UNION ALL SELECT 'retail', 'size', round(corr(retail, size), 6) + 0.0::DOUBLE FROM c UNION ALL SELECT 'retail', 'price', round(corr(retail, price), 6) + 0.0::DOUBLE FROM c UNION ALL SELECT 'size', 'price', round(corr(size, price), 6) + 0.0::DOUBLE FROM c")
@@ -156,16 +206,24 @@ def forecast_linear(spark, sf):
 
 @query()
 def forecast_multi_step(spark, sf):
-    """Direct models for horizons 1, 6 and 24."""
+    """Direct models for horizons 1, 6, 24 and 240, fitted on the first four fifths of the time, scored on the rest.
+
+    A row whose target lies beyond the cut is not learned from. A horizon without rows on either side has no error.
+    """
     from pyspark.sql import Window
 
     w = Window.partitionBy("event_type").orderBy("hour")
-    s = T.lagged(series(spark, sf), ["event_type"], "hour", "v", 6).withColumns({f"y_{h}": F.lead("v", h - 1).over(w) for h in (1, 6, 24)})
+    s = T.lagged(series(spark, sf), ["event_type"], "hour", "v", 6).withColumns({f"y_{h}": F.lead("v", h - 1).over(w) for h in (1, 6, 24, 240)}).withColumns({f"at_{h}": F.lead("hour", h - 1).over(w) for h in (1, 6, 24, 240)})
     s = S.Workspace(spark, "series").table(s, "rows")
+    cut = s.agg(F.percentile(F.unix_timestamp("hour"), F.lit(0.8)).alias("cut")).first()["cut"]
     rows = []
-    for h in (1, 6, 24):
+    for h in (1, 6, 24, 240):
         made = T.assemble(s.where(F.col(f"y_{h}").isNotNull()), [f"lag_{k}" for k in range(1, 7)])
-        m = LinearRegression(labelCol=f"y_{h}").fit(made).transform(made)
+        before, after = made.where(F.unix_timestamp(f"at_{h}") <= cut), made.where(F.unix_timestamp("hour") > cut)
+        if before.isEmpty() or after.isEmpty():
+            rows.append((h, None))
+            continue
+        m = LinearRegression(labelCol=f"y_{h}").fit(before).transform(after)
         rows.append((h, float(m.agg(F.avg(F.abs(F.col(f"y_{h}") - F.col("prediction")))).first()[0])))
     return spark.createDataFrame(rows, "horizon int, mae double")
 
@@ -177,10 +235,12 @@ def forecast_feedback(spark, sf):
 
 @query()
 def permutation_importance(spark, sf):
-    """Error with a lag column permuted over the error without, for one fitted model."""
+    """Error with a lag column permuted over the error without, on the last fifth of the time, for one model of the rest."""
     s = S.Workspace(spark, "series").table(T.lagged(series(spark, sf), ["event_type"], "hour", "v", 3), "rows")
     names = ["lag_1", "lag_2", "lag_3"]
-    m = LinearRegression(labelCol="v").fit(T.assemble(s, names))
+    cut = s.agg(F.percentile(F.unix_timestamp("hour"), F.lit(0.8)).alias("cut")).first()["cut"]
+    m = LinearRegression(labelCol="v").fit(T.assemble(s.where(F.unix_timestamp("hour") <= cut), names))
+    s = s.where(F.unix_timestamp("hour") > cut)
 
     def mae(df):
         return float(m.transform(T.assemble(df, names)).agg(F.avg(F.abs(F.col("v") - F.col("prediction")))).first()[0])
@@ -189,6 +249,7 @@ def permutation_importance(spark, sf):
     return spark.createDataFrame([(n, mae(T.permuted(s, n, "hour", ["event_type"])) / base) for n in names], "column_name string, ratio double")
 
 
-@query()
+@query("""WITH s AS (SELECT event_type AS key, date_trunc('hour', ts) AS hour, avg(value) AS v FROM events GROUP BY 1, 2), n AS (SELECT key, v, row_number() OVER (PARTITION BY key ORDER BY hour) - 1 AS t, count(*) OVER (PARTITION BY key) AS n FROM s),
+f AS (SELECT key, n, unnest(range(n // 2 + 1)) AS frequency FROM (SELECT DISTINCT key, n FROM n)) SELECT key, frequency, round(sqrt(power(sum(v * cos(2 * pi() * frequency * t / n.n)), 2) + power(sum(v * sin(2 * pi() * frequency * t / n.n)), 2)), 4) AS magnitude FROM f JOIN n USING (key) GROUP BY 1, 2""")
 def fourier_spectrum(spark, sf):
-    return T.spectrum(series(spark, sf), "event_type", "hour", "v")
+    return T.spectrum(series(spark, sf), "event_type", "hour", "v").withColumn("magnitude", F.round("magnitude", 4))

@@ -12,7 +12,7 @@ from tarnfold.plans.registry import query
 
 FM_GROUPS = [[(7, 13), (11, 29), (23, 5)], [(31, 17), (43, 3), (59, 41)], [(61, 19), (73, 37), (97, 53)]]
 BLOOM = [(101, 7), (211, 13), (307, 29)]
-BITS = 997
+BITS = 69_997
 
 
 @query("SELECT event_id // 100 AS batch, count(DISTINCT user_id) AS n_users, count(*) AS n FROM events GROUP BY 1")
@@ -87,10 +87,10 @@ def stream_event_counts(spark, sf):
     return spark.read.schema("user_id bigint, n bigint").parquet(got["path"])
 
 
-@query()
+@query("WITH w AS (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2024-01-01'), time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2024-01-01') - INTERVAL 1 HOUR]) AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM w GROUP BY 1, 2 HAVING start + INTERVAL 2 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)")
 def stream_windows(spark, sf):
     """Append mode: a window comes out once the watermark passes its end, so the last ones are withheld."""
-    return T.drain(T.sliding(T.events_stream(spark, sf), "2 hours", "1 hour", ["event_type"]), S.Workspace(spark, "stream"), "windows")
+    return T.drain(T.sliding(T.events_stream(spark, sf), "2 hours", "1 hour", ["event_type"]), S.Workspace(spark, "stream"), "windows").withColumn("mean", F.round("mean", 6))
 
 
 @query()
@@ -98,6 +98,17 @@ def reservoir_stateful(spark, sf):
     return T.drain(T.reservoir_state(T.events_stream(spark, sf), "event_type", "user_id"), S.Workspace(spark, "stream"), "reservoir")
 
 
-@query()
+@query(f"""WITH seen AS (SELECT event_type AS key, user_id AS v, min(event_id) AS first FROM events GROUP BY 1, 2), spots AS (SELECT DISTINCT key, v, first, unnest([{", ".join(f"({a} * v + {b}) % {BITS}" for a, b in BLOOM)}]) AS spot FROM seen),
+since AS (SELECT key, v, first, min(first) OVER (PARTITION BY key, spot) AS since FROM spots), f AS (SELECT key, v, first, max(CASE WHEN since < first THEN 0 ELSE 1 END) AS fresh FROM since GROUP BY 1, 2, 3), e AS (SELECT event_type AS key, count(*) AS events FROM events GROUP BY 1)
+SELECT key, any_value(events) AS events, count(*) AS new, sum(1 - fresh)::BIGINT AS taken_for_seen FROM f JOIN e USING (key) GROUP BY 1""")
 def bloom_stateful(spark, sf):
-    return T.drain(T.bloom_state(T.events_stream(spark, sf), "event_type", "user_id", BITS, BLOOM), S.Workspace(spark, "stream"), "bloom")
+    """The stream's filter by key; what is truly new comes from the drained events, beside the filter."""
+    told = T.drain(T.bloom_state(T.events_stream(spark, sf), "event_type", "user_id", BITS, BLOOM), S.Workspace(spark, "stream"), "bloom")
+    first = told.groupBy("key", "value").agg(F.min_by("taken_for_seen", "event_id").alias("taken"), F.count(F.lit(1)).alias("n"))
+    return first.groupBy("key").agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("new"), F.sum(F.col("taken").cast("long")).alias("taken_for_seen"))
+
+
+@query("WITH l AS (SELECT user_id, row_number() OVER (ORDER BY event_id) - 1 AS line, count(*) OVER () AS n FROM events) SELECT d.range AS draw, user_id AS value FROM range(3000) d JOIN l ON line = (((d.range + 1) * 2654435761 + 12345) % 4294967291) % n")
+def stream_source_draws(spark, sf):
+    """Thirty requests of a hundred users each, drawn with replacement."""
+    return T.draws(S.table(spark, sf, "events"), "event_id", "user_id", spark.range(3000), S.Workspace(spark, "draws"))

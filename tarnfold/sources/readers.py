@@ -51,3 +51,8 @@ def read_rows(spark: SparkSession, rows: Iterable, schema: Schema) -> DataFrame:
 def read_database(spark: SparkSession, url: str, dbtable: str, **options: str) -> DataFrame:
     """A JDBC table (needs a driver on the class path), split over a numeric column where bounds are given."""
     return spark.read.format("jdbc").options(url=url, dbtable=dbtable, **options).load()
+
+
+def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    """``file, markup``: a directory of markup files of any shape, one row a file."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), F.col("value").alias("markup"))

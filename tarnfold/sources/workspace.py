@@ -18,7 +18,9 @@ class Workspace:
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
             if current.isDefined():
                 folder = current.get()
-            else:  # tests only: nothing is configured
+            elif not (spark.sparkContext.master + "[").startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            else:  # one machine and nothing configured, as in tests
                 folder = tempfile.mkdtemp(prefix="checkpoints-")
                 spark.sparkContext.setCheckpointDir(folder)
         self.root = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

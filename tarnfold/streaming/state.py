@@ -10,49 +10,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def reservoir_state(stream: DataFrame, key: str, value: str, size: int = 100, seed: int = 553) -> DataFrame:
-    """``key, seen, held, slots`` after each batch: fill, then keep a new event with probability size / seen, in any slot.
+def reservoir_state(stream: DataFrame, key: str, value: str, size: int = 100, seed: int = 553, every: int = 100) -> DataFrame:
+    """``key, seen, held, slots`` after every ``every`` events of a key: fill, then keep a new event with probability size / seen, in any slot.
 
     The draw for an event depends on seed, key and its number, so a batch that runs again gives the same sample.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, slots = state.get if state.exists else (0, [])
-        slots = list(slots)
-        for pdf in batches:
-            for v in pdf.sort_values("_order")["_value"]:
-                seen += 1
-                if len(slots) < size:
-                    slots.append(int(v))
-                elif (draw := random.Random(f"{seed}:{k[0]}:{seen}")).random() < size / seen:
-                    slots[draw.randrange(size)] = int(v)
+        slots, out = list(slots), []
+        for v in pd.concat(list(batches), ignore_index=True).sort_values("_order")["_value"]:
+            seen += 1
+            if len(slots) < size:
+                slots.append(int(v))
+            elif (draw := random.Random(f"{seed}:{k[0]}:{seen}")).random() < size / seen:
+                slots[draw.randrange(size)] = int(v)
+            if seen % every == 0:
+                out.append((k[0], seen, len(slots), ",".join(map(str, slots[::20]))))
         state.update((seen, slots))
-        yield pd.DataFrame({"key": [k[0]], "seen": [seen], "held": [len(slots)], "slots": [",".join(map(str, slots[::20]))]})
+        yield pd.DataFrame(out, columns=["key", "seen", "held", "slots"])
 
     rows = stream.selectExpr(f"{key} AS _key", f"{value} AS _value", "event_id AS _order")
     return rows.groupBy("_key").applyInPandasWithState(step, "key string, seen bigint, held bigint, slots string", "seen bigint, slots array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def bloom_state(stream: DataFrame, key: str, value: str, bits: int, hashes: list[tuple[int, int]]) -> DataFrame:
-    """``key, events, new, taken_for_seen`` for each batch: a filter of ``bits`` bits a key, kept as bytes, and the truth beside it."""
+    """``key, event_id, value, taken_for_seen`` of every event: a filter of ``bits`` bits a key, kept as bytes, and nothing else."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        raw, seen = state.get if state.exists else (bytes(-(-bits // 8)), [])
-        field, seen = bytearray(raw), set(seen)
-        events = new = false = 0
-        for pdf in batches:
-            for v in map(int, pdf.sort_values("_order")["_value"]):
-                spots = [(a * v + b) % bits for a, b in hashes]
-                known = all(field[s >> 3] >> (s & 7) & 1 for s in spots)
-                events += 1
-                if v not in seen:
-                    new += 1
-                    false += known
-                    seen.add(v)
-                for s in spots:
-                    field[s >> 3] |= 1 << (s & 7)
-        state.update((bytes(field), sorted(seen)))
-        yield pd.DataFrame({"key": [k[0]], "events": [events], "new": [new], "taken_for_seen": [int(false)]})
+        field = bytearray(state.get[0] if state.exists else bytes(-(-bits // 8)))
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("_order")
+        known = []
+        for v in map(int, rows["_value"]):
+            spots = [(a * v + b) % bits for a, b in hashes]
+            known.append(all(field[s >> 3] >> (s & 7) & 1 for s in spots))
+            for s in spots:
+                field[s >> 3] |= 1 << (s & 7)
+        state.update((bytes(field),))
+        yield pd.DataFrame({"key": k[0], "event_id": rows["_order"], "value": rows["_value"], "taken_for_seen": known})
 
     rows = stream.selectExpr(f"{key} AS _key", f"{value} AS _value", "event_id AS _order")
-    return rows.groupBy("_key").applyInPandasWithState(step, "key string, events bigint, new bigint, taken_for_seen bigint", "field binary, seen array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("_key").applyInPandasWithState(step, "key string, event_id bigint, value bigint, taken_for_seen boolean", "field binary", "append", GroupStateTimeout.NoTimeout)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.operators.relational import with_index
 from tarnfold.sources import Workspace
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -38,3 +39,15 @@ def sliding(df: DataFrame, size: str, step: str, keys: list[str]) -> DataFrame:
 def unique_within(df: DataFrame, keys: list[str]) -> DataFrame:
     """The first event of each key; on a stream state older than the watermark is dropped."""
     return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
+
+
+def draws(lines: DataFrame, order: str, value: str, requests: DataFrame, work: Workspace, seed: int = 1) -> DataFrame:
+    """``draw, value``: for every id of ``requests`` (a range, or a stream such as the rate source) a uniform draw with
+    replacement from the lines, which are numbered by ``order``; the same id gives the same line.
+
+    Lines and draws meet by line number, so neither side is gathered. No lines, no draws.
+    """
+    numbered = work.table(with_index(lines.select(order, value), [F.col(order)], work, "lines", "_line"), "numbered")
+    count = max(numbered.count(), 1)
+    at = F.pmod(F.pmod((F.col("id") + seed) * F.lit(2654435761) + F.lit(12345), F.lit(4294967291)), F.lit(count))
+    return requests.select(F.col("id").alias("draw"), at.alias("_at")).join(numbered, F.col("_at") == F.col("_line")).select("draw", F.col(value).alias("value"))
