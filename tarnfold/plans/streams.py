@@ -95,7 +95,7 @@ def stream_windows(spark, sf):
 
 @query()
 def reservoir_stateful(spark, sf):
-    return T.drain(T.reservoir_state(T.events_stream(spark, sf), "event_type", "user_id"), S.Workspace(spark, "stream"), "reservoir")
+    return T.drain(T.reservoir_state(T.events_stream(spark, sf), "event_type", "user_id", every=100), S.Workspace(spark, "stream"), "reservoir")
 
 
 @query(f"""WITH seen AS (SELECT event_type AS key, user_id AS v, min(event_id) AS first FROM events GROUP BY 1, 2), spots AS (SELECT DISTINCT key, v, first, unnest([{", ".join(f"({a} * v + {b}) % {BITS}" for a, b in BLOOM)}]) AS spot FROM seen),

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def reservoir_state(stream: DataFrame, key: str, value: str, size: int = 100, seed: int = 553, every: int = 100) -> DataFrame:
-    """``key, seen, held, slots`` after every ``every`` events of a key: fill, then keep a new event with probability size / seen, in any slot.
+def reservoir_state(stream: DataFrame, key: str, value: str, size: int = 100, seed: int = 553, every: int | None = None) -> DataFrame:
+    """``key, seen, held, slots`` after each batch, or with ``every`` after so many events of a key: fill, then keep a new event with probability size / seen, in any slot.
 
     The draw for an event depends on seed, key and its number, so a batch that runs again gives the same sample.
     """
@@ -25,8 +25,10 @@ def reservoir_state(stream: DataFrame, key: str, value: str, size: int = 100, se
                 slots.append(int(v))
             elif (draw := random.Random(f"{seed}:{k[0]}:{seen}")).random() < size / seen:
                 slots[draw.randrange(size)] = int(v)
-            if seen % every == 0:
+            if every and seen % every == 0:
                 out.append((k[0], seen, len(slots), ",".join(map(str, slots[::20]))))
+        if not every:
+            out.append((k[0], seen, len(slots), ",".join(map(str, slots[::20]))))
         state.update((seen, slots))
         yield pd.DataFrame(out, columns=["key", "seen", "held", "slots"])
 
