@@ -1,19 +1,23 @@
 """Mixing sources to target weights: fixed-length blocks, multinomial source counts per output shard, permuted indices.
 
 Words of a source form one stream (rows in the order of a digest of id and size), packed into blocks of ``BLOCK``
-words. The mix has as many words as all sources together, in output shards of ``SHARD_BLOCKS`` blocks. For every output
-shard source counts are drawn: the whole part of ``blocks * share`` for certain, the remaining blocks by a multinomial
-draw over the fractional parts (same expectation as a plain multinomial draw, less spread). A source's drawn slots are
-numbered through; slot j reads block ``p(j mod blocks)`` of pass ``j div blocks``, where p is a linear congruential
-permutation of the source's block indices chosen by source and pass. Slots and blocks then join by index. All numbers
-come from MD5 digests of fixed texts, so reruns agree.
+words. The mix is a row of slots for blocks, ``SHARD_BLOCKS`` to an output shard; every source has as many slots as its
+target asks for. Which slots these are is drawn: a keyed permutation of all slots deals them out, so the source counts of
+an output shard are a multinomial draw, given that all shards together meet the targets (a draw without that condition
+misses a target of n blocks by about the root of n). Slot j of a source reads block ``p(j mod blocks)`` of pass
+``j div blocks``, where p is a pseudorandom permutation of the source's block indices, keyed by source and pass. Slots
+and blocks then join by index. All keys are MD5 digests of fixed texts, so reruns agree.
+
+Permutations of any size n: x = l + a r with l < a, r < b, a b >= n hardly larger; four rounds add a keyed number made
+from the one part to the other (l, r, l, r); results beyond n go through the rounds again until they are within.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, 1, ...; they share all words by weight; none goes above
 ``MAX_REPEAT`` times its size, the excess is shared again by weight. Slots beyond ``MAX_REPEAT`` passes don't exist, so
 no document is taken more often than that.
 
 Defined results: null and empty texts have size 0 and take 0; a null source is a source; equal rows are rows of their
-own; an empty table gives an empty result; further columns are ignored.
+own; rows alike in id and size stand in the order of a digest of the text; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +35,11 @@ SHARD_BLOCKS = 1024
 MAX_REPEAT = 3
 WEIGHTS = (1, 2, 3)
 WORD = r"[^\x20\x09-\x0D]+"
-#: Primes below 2**25, multipliers of the permutations.
-PRIMES = (33554393, 33554383, 33554371, 33554347, 33554341)
+#: Slots that a row becomes at once.
 _CHUNK = 4096
+_PRIME, _FACTOR = 2147483647, 40503
+#: Times through the rounds at most; a turn leaves at most a quarter outside, so none is left after these.
+_TURNS = 48
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -42,6 +48,35 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
+def round_keys(*parts: Column | str) -> Column:
+    """Four keys below 2**28 from the MD5 digest of the parts."""
+    text = F.concat_ws(":", *[(F.lit(p) if isinstance(p, str) else p.cast("string")) for p in parts])
+    digest = F.md5(text.cast("binary"))
+    return F.array(*[F.conv(F.substring(digest, 1 + 7 * k, 7), 16, 10).cast("long") for k in range(4)])
+
+
+def permuted(x: Column, size: Column, keys: Column) -> Column:
+    """The place of x in the keyed permutation of 0 to ``size`` - 1."""
+    a = F.ceil(F.sqrt(size.cast("double")))
+    b = F.ceil(size / a)
+    prime = F.lit(_PRIME)
+
+    def mixed(v: Column, k: int) -> Column:
+        return ((v % prime) * (v % prime) % prime * _FACTOR + keys[k]) % prime
+
+    def rounds(v: Column) -> Column:
+        left, right = v % a, F.floor((v - v % a) / a)
+        left = (left + mixed(right, 0)) % a
+        right = (right + mixed(left, 1)) % b
+        left = (left + mixed(right, 2)) % a
+        right = (right + mixed(left, 3)) % b
+        return left + a * right
+
+    once = rounds(x)
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(_TURNS)), once, lambda v, _: F.when(v < size, v).otherwise(rounds(v)))
+    return F.when(once < size, once).otherwise(again)
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """``source, rank, source_size, target`` and the number of all words, one row a source.
 
@@ -63,44 +98,36 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: in
     return per.select("source", "rank", "source_size", "total", F.least(F.col("cap").cast("double"), F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def draws(sources: DataFrame, scratch: Scratch, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """``rank, blocks, shard, n``: how many blocks of each source every output shard gets."""
-    s = sources.where(F.col("total") > 0).withColumn("slots", F.ceil(F.col("total") / block)).withColumn("blocks", F.ceil(F.col("source_size") / block))
-    s = s.withColumn("share", F.col("target") / F.col("total"))
-    full, last = F.lit(shard_blocks), F.col("slots") - F.floor((F.col("slots") - 1) / shard_blocks) * shard_blocks
-    everything, ordered = Window.partitionBy(F.lit(1)), Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    for name, k in (("f", full), ("l", last)):
-        s = s.withColumn(f"sure_{name}", F.floor(k * F.col("share")))
-        s = s.withColumn(f"part_{name}", k * F.col("share") - F.col(f"sure_{name}"))
-        s = s.withColumn(f"low_{name}", F.coalesce(F.sum(f"part_{name}").over(ordered), F.lit(0.0)))
-        s = s.withColumn(f"all_{name}", F.sum(f"part_{name}").over(everything))
-        s = s.withColumn(f"rest_{name}", (k - F.sum(f"sure_{name}").over(everything)).cast("int"))
-    shards = F.ceil(F.col("slots") / shard_blocks)
-    s = s.select("rank", "blocks", *[f"{a}_{b}" for a in ("sure", "part", "low", "all", "rest") for b in "fl"], shards.alias("shards"), F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)).alias("shard"))
-    is_last = F.col("shard") == F.col("shards") - 1
-    pick = {a: F.when(is_last, F.col(f"{a}_l")).otherwise(F.col(f"{a}_f")).alias(a) for a in ("sure", "part", "low", "all", "rest")}
-    s = s.select("rank", "blocks", "shard", *pick.values())
-
-    def hit(i: Column) -> Column:
-        u = uniform("draw", F.col("shard"), i) * F.col("all")
-        return (u >= F.col("low")) & (u < F.col("low") + F.col("part"))
-
-    drawn = F.when(F.col("rest") > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.col("rest"), F.lit(1))), hit))).otherwise(0)
-    return scratch.table(s.select("rank", "blocks", "shard", (F.col("sure") + drawn).cast("long").alias("n"), F.floor(F.col("shard") / _CHUNK).alias("chunk")), "draws")
-
-
-def block_counts(drawn: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
+def slots(sources: DataFrame, scratch: Scratch, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """``shard, place, rank, block``: the block of a source that each slot of each output shard reads.
+
+    A source's slots of one pass are cut into rows of ``_CHUNK``, dealt out before they become slots.
+    """
+    blocks = F.ceil(F.col("source_size") / block)
+    wanted = F.least(F.floor(F.col("target") / block + 0.5).cast("long"), blocks * max_repeat)
+    s = sources.where("source_size > 0").select("rank", blocks.alias("blocks"), wanted.alias("n"))
+    ordered, everything = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
+    s = s.withColumn("low", F.coalesce(F.sum("n").over(ordered), F.lit(0))).withColumn("all", F.sum("n").over(everything))
+    s = s.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1)))).withColumn("first", F.col("turn") * F.col("blocks")).where("first < n")
+    s = s.withColumn("last", F.least(F.col("n"), F.col("first") + F.col("blocks"))).withColumn("keys", round_keys("block", F.col("rank"), F.col("turn"))).withColumn("deal", round_keys("slot"))
+    s = scratch.table(s, "turns")  # a row a source and pass
+    s = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - F.col("first") - 1) / _CHUNK))))
+    s = s.repartition("rank", "turn", "chunk")
+    start = F.col("first") + F.col("chunk") * _CHUNK
+    s = s.withColumn("j", F.explode(F.sequence(start, F.least(F.col("last"), start + _CHUNK) - 1)))
+    slot = permuted(F.col("low") + F.col("j"), F.col("all"), F.col("deal"))
+    index = permuted(F.col("j") - F.col("first"), F.col("blocks"), F.col("keys"))
+    return s.select(F.floor(slot / shard_blocks).alias("shard"), (slot % shard_blocks).cast("int").alias("place"), "rank", index.cast("long").alias("block"))
+
+
+def draws(made: DataFrame) -> DataFrame:
+    """``shard, rank, n``: how many blocks of each source every output shard got."""
+    return made.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+def block_counts(made: DataFrame) -> DataFrame:
     """``rank, block, times``: how often the mix reads each block."""
-    numbered = running_totals(drawn, ["rank"], "chunk", ["shard"], F.col("n")).where("n > 0 and blocks > 0")
-    slot = numbered.select("rank", "blocks", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("j")).where(F.col("j") < F.col("blocks") * max_repeat)
-    slot = slot.withColumn("turn", F.expr("j div blocks")).withColumn("index", F.col("j") % F.col("blocks"))
-    pick = F.floor(uniform("prime", F.col("rank"), F.col("turn")) * len(PRIMES)).cast("int")
-    listed = F.array(*[F.lit(p).cast("long") for p in PRIMES])
-    rotated = F.concat(F.slice(listed, pick + 1, len(PRIMES)), listed)
-    prime = F.element_at(F.filter(rotated, lambda p: F.col("blocks") % p != 0), 1)
-    shift = F.floor(uniform("shift", F.col("rank"), F.col("turn")) * F.col("blocks"))
-    slot = slot.select("rank", ((prime * F.col("index") + shift) % F.col("blocks")).alias("block"))
-    return slot.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    return made.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
 
 
 def mix(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -108,16 +135,16 @@ def mix(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     spark = documents.sparkSession
     scratch = Scratch(spark, "mixing")
     extra = [F.col(c).alias(f"_keep_{c}") for c in keep]
-    rows = documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *extra)
+    rows = documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("_t"), *extra)
     rows = rows.withColumn("_h", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("size").cast("string")).cast("binary")))
     rows = scratch.table(rows, "rows")
     sources = scratch.table(targets(rows), "sources")
     buckets = max(1, math.ceil(rows.count() / BUCKET_ROWS))
-    placed = running_totals(rows.withColumn("_bucket", hex_bucket(F.col("_h"), buckets)), ["source"], "_bucket", ["_h", "doc_id"], F.col("size"))
+    placed = running_totals(rows.withColumn("_bucket", hex_bucket(F.col("_h"), buckets)), ["source"], "_bucket", ["_h", "doc_id", "_t"], F.col("size"))
     named = sources.select(F.col("source").alias("_source"), "rank", "source_size", "target")
     kept = [f"_keep_{c}" for c in keep]
     placed = placed.join(named, placed["source"].eqNullSafe(named["_source"])).select("rank", "doc_id", "before", "size", "source_size", "target", *kept)
-    times = block_counts(draws(sources, scratch))
+    times = block_counts(slots(sources, scratch))
     first, last = F.expr(f"before div {BLOCK}"), F.expr(f"(before + size - 1) div {BLOCK}")
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     words = F.least(F.col("before") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("before"), F.col("block") * BLOCK)
@@ -133,37 +160,35 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """The same rows in DuckDB's SQL."""
+    m = _PRIME
 
-    def u(*parts: str) -> str:
-        return f"(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::BIGINT / {2**52}.0::DOUBLE)"
+    def mixed(v: str, k: int) -> str:
+        return f"((({v}) % {m}) * (({v}) % {m}) % {m} * {_FACTOR} + ('0x' || substr(digest, {1 + 7 * k}, 7))::BIGINT) % {m}"
 
-    def least_sum(x: str) -> str:
-        return f"coalesce(sum({x}) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)"
+    def rounds(v: str) -> str:
+        left, right = f"(({v}) % a)", f"(({v}) // a)"
+        left = f"(({left} + {mixed(right, 0)}) % a)"
+        right = f"(({right} + {mixed(left, 1)}) % b)"
+        left = f"(({left} + {mixed(right, 2)}) % a)"
+        right = f"(({right} + {mixed(left, 3)}) % b)"
+        return f"({left} + a * {right})"
 
-    b, k = BLOCK, SHARD_BLOCKS
     return rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
 s1 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 s2 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank, (sum(source_size) OVER ())::BIGINT AS total FROM s1),
 s3 AS (SELECT *, {list(WEIGHTS)}[(rank % {len(WEIGHTS)} + 1)::INTEGER] AS weight, source_size * {MAX_REPEAT} AS cap FROM s2),
 s4 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s3),
 s5 AS (SELECT *, (SELECT level FROM s4 o WHERE o.level * o.weight <= o.cap ORDER BY o.cap / o.weight, o.rank LIMIT 1) AS final FROM s4),
 sources AS (SELECT source, rank, source_size, total, least(cap::DOUBLE, coalesce(final * weight, cap)) AS target FROM s5),
-e1 AS (SELECT *, ceil(total / {b})::BIGINT AS slots, ceil(source_size / {b})::BIGINT AS blocks, target / total AS share FROM sources WHERE total > 0),
-e2 AS (SELECT *, slots - floor((slots - 1) / {k})::BIGINT * {k} AS last FROM e1),
-e3 AS (SELECT *, floor({k} * share)::BIGINT AS sf, floor(last * share)::BIGINT AS sl FROM e2),
-e4 AS (SELECT *, {k} * share - sf AS pf, last * share - sl AS pl FROM e3),
-e5 AS (SELECT *, {least_sum("pf")} AS lf, {least_sum("pl")} AS ll, sum(pf) OVER () AS af, sum(pl) OVER () AS al, ({k} - sum(sf) OVER ())::BIGINT AS rf, (last - sum(sl) OVER ())::BIGINT AS rl, unnest(range(ceil(slots / {k})::BIGINT)) AS shard FROM e4),
-e6 AS (SELECT rank, blocks, shard, shard = ceil(slots / {k})::BIGINT - 1 AS z, sf, sl, pf, pl, lf, ll, af, al, rf, rl FROM e5),
-e7 AS (SELECT rank, blocks, shard, CASE WHEN z THEN sl ELSE sf END AS sure, CASE WHEN z THEN pl ELSE pf END AS part, CASE WHEN z THEN ll ELSE lf END AS low, CASE WHEN z THEN al ELSE af END AS every, CASE WHEN z THEN rl ELSE rf END AS rest FROM e6),
-drawn AS (SELECT rank, blocks, shard, sure + len(list_filter(range(1, rest + 1), lambda i: {u("'draw'", "shard", "i")} * every >= low AND {u("'draw'", "shard", "i")} * every < low + part)) AS n FROM e7),
-numbered AS (SELECT *, (sum(n) OVER (PARTITION BY rank ORDER BY shard) - n)::BIGINT AS before FROM drawn),
-slot AS (SELECT rank, blocks, unnest(range(before, before + n)) AS j FROM numbered WHERE n > 0 AND blocks > 0),
-turned AS (SELECT rank, blocks, j // blocks AS turn, j % blocks AS idx FROM slot WHERE j < blocks * {MAX_REPEAT}),
-picked AS (SELECT *, floor({u("'prime'", "rank", "turn")} * {len(PRIMES)})::INTEGER AS pick, floor({u("'shift'", "rank", "turn")} * blocks)::BIGINT AS shift FROM turned),
-times AS (SELECT rank, (list_filter(list_concat(list_slice({list(PRIMES)}::BIGINT[], pick + 1, {len(PRIMES)}), {list(PRIMES)}::BIGINT[]), lambda p: blocks % p <> 0)[1] * idx + shift) % blocks AS block, count(*) AS times FROM picked GROUP BY ALL),
+e1 AS (SELECT rank, target, ceil(source_size / {BLOCK})::BIGINT AS blocks FROM sources WHERE source_size > 0),
+e2 AS (SELECT *, least(floor(target / {BLOCK} + 0.5)::BIGINT, blocks * {MAX_REPEAT}) AS n, ceil(sqrt(blocks::DOUBLE))::BIGINT AS a FROM e1),
+e3 AS (SELECT *, ceil(blocks / a)::BIGINT AS b, unnest(range({MAX_REPEAT})) AS turn FROM e2),
+e4 AS (SELECT *, md5(concat_ws(':', 'block', rank, turn)) AS digest, unnest(range(turn * blocks, least(n, (turn + 1) * blocks))) - turn * blocks AS x FROM e3 WHERE turn * blocks < n),
+walk AS (SELECT rank, blocks, a, b, digest, {rounds("x")} AS y FROM e4 UNION ALL SELECT rank, blocks, a, b, digest, {rounds("y")} FROM walk WHERE y >= blocks),
+times AS (SELECT rank, y AS block, count(*) AS times FROM walk WHERE y < blocks GROUP BY ALL),
 placed AS (SELECT rank, doc_id, size, source_size, target, (sum(size) OVER (PARTITION BY rank ORDER BY md5(concat_ws(':', doc_id, size)), doc_id ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before FROM d JOIN sources ON d.source IS NOT DISTINCT FROM sources.source),
-pieces AS (SELECT *, unnest(range(before // {b}, (before + size - 1) // {b} + 1)) AS block FROM placed WHERE size > 0)
-SELECT doc_id, size, any_value(source_size) AS source_size, any_value(target) AS target, sum((least(before + size, (block + 1) * {b}) - greatest(before, block * {b})) * coalesce(times, 0))::BIGINT AS taken
+pieces AS (SELECT *, unnest(range(before // {BLOCK}, (before + size - 1) // {BLOCK} + 1)) AS block FROM placed WHERE size > 0)
+SELECT doc_id, size, any_value(source_size) AS source_size, any_value(target) AS target, sum((least(before + size, (block + 1) * {BLOCK}) - greatest(before, block * {BLOCK})) * coalesce(times, 0))::BIGINT AS taken
 FROM pieces LEFT JOIN times USING (rank, block) GROUP BY rank, doc_id, before, size
 UNION ALL SELECT doc_id, size, source_size, target, 0 FROM placed WHERE size = 0"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 8192
 
 
 def hex_bucket(digest: Column, buckets: int) -> Column:
