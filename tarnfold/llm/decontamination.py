@@ -1,23 +1,32 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, block-max WAND, then overlap of word runs.
 
-Index: the items' tokens with BM25 impacts, in blocks of ``BLOCK`` items; for each term and block the largest impact.
-Queries: every passage (``PASSAGE`` tokens, every ``STRIDE``) of every document. A block is opened for a passage only if
-the sum of its terms' block maxima reaches the lowest threshold in the block; an opened block's items are scored
-exactly and all at or above their threshold are retrieved (``ALPHA`` of the score that the item's own passages reach).
+Index: the items' tokens with BM25 impacts, postings by term in the order of items, items in blocks of ``BLOCK``; for
+each term its largest impact, overall and in each block where it stands. Document frequencies and the mean length are
+those of all items, whatever part of the index an item is in.
+Queries: every passage (``PASSAGE`` tokens, every ``STRIDE``) of every document, by WAND: cursors on the postings of the
+passage's terms, in the order of the items they stand at; the pivot is the first item that the terms' largest impacts can
+lift to the lowest threshold; if the block maxima at the pivot can't reach the lowest threshold of its block, all cursors
+skip that block, else the pivot is scored exactly and retrieved if it is at or above its own threshold (``ALPHA`` of the
+score that the item's own passages reach). A passage whose block maxima reach the threshold in no block at all is let go
+before its cursors start; these sums are taken for many passages at once.
 Verification: the share of the item's distinct five-token runs that stand in the document around the passage; an item
 leaks if that share is at least 0.8, or if that of its question (all but its last sentence, or its first half) is and
 any run of its answer, if it has one, stands there too. The three shares are returned.
 
-Index parts hold at most ``PART_ITEMS`` items and ``PART_TOKENS`` tokens each; parts are broadcast one by one, so what
-is broadcast at once has a bound whatever the size of the benchmark. A longer item is a part of its own.
+Index parts hold about ``PART_ITEMS`` items and ``PART_TOKENS`` tokens each (items are dealt to parts by a hash of id and
+text). Each part is built in a task, once, and broadcast built; parts pass the driver one by one, so what is broadcast at
+once has a bound whatever the size of the benchmark.
 
-Defined results: a null or empty text leaks nothing; items without tokens are never found, items of fewer than five
-tokens only as a whole run; repeated items are found each; with no items nothing leaks; equal rows are rows of their
-own; an empty table gives an empty result; further columns stay as they are.
+Defined results: a null or empty text leaks nothing; items without tokens or without an id are never found, items of
+fewer than five tokens only as a whole run; repeated items are found each; with no items nothing leaks; equal rows are
+rows of their own; an empty table gives an empty result; further columns stay as they are.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
@@ -27,11 +36,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.llm.scratch import Scratch
 from tarnfold.llm.words import runs_of, tokens
 
 PASSAGE, STRIDE, BLOCK, RUN = 64, 32, 8, 5
 ALPHA, OVERLAP, K1, B = 0.6, 0.8, 1.2, 0.75
-PART_ITEMS, PART_TOKENS = 4096, 2_000_000
+PART_ITEMS, PART_TOKENS = 4096, 1_000_000
+#: Sums of block maxima that are held at once.
+_CELLS = 4_000_000
 HIT = "array<struct<item_id:bigint,score:double,overlap:double,question:double,answer:double>>"
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+")
 
@@ -50,48 +62,115 @@ def question_and_answer(text: bytes) -> tuple[bytes, bytes]:
 
 
 class Index:
-    """One part of the inverted index."""
+    """One part of the inverted index: ``items`` (id, text), and over all items their number, mean length and document
+    frequencies (of the part's terms, sorted)."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], total: int, mean: float, terms: np.ndarray, df: np.ndarray):
         # Items of like length, and so of like thresholds, share a block.
-        held = sorted(((i, t, h) for i, t in items if len(h := tokens(t))), key=lambda x: (len(x[2]), x[0]))
-        self.ids = np.array([i for i, _, _ in held], np.int64)
-        self.sizes = np.array([len(h) for _, _, h in held], float)
-        self.terms = np.unique(np.concatenate([h for *_, h in held])) if held else np.empty(0, np.uint64)
-        n, blocks = len(held), -(-len(held) // BLOCK)
-        counted = [np.unique(np.searchsorted(self.terms, h), return_counts=True) for *_, h in held]
+        held = sorted(((i, t, h) for i, t in items if len(h := tokens(t))), key=lambda x: (len(x[2]), x[0], x[1]))
+        self.ids = [i for i, _, _ in held]
+        self.sizes = [len(h) for _, _, h in held]
+        self.terms = terms
+        counted = [np.unique(np.searchsorted(terms, h), return_counts=True) for *_, h in held]
         term = np.concatenate([t for t, _ in counted]) if held else np.empty(0, np.int64)
-        item = np.repeat(np.arange(n), [len(t) for t, _ in counted])
+        item = np.repeat(np.arange(len(held)), [len(t) for t, _ in counted])
         count = np.concatenate([c for _, c in counted]).astype(float) if held else np.empty(0)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = self.sizes.mean() if n else 1.0
-        impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * self.sizes[item] / mean))
-        order = np.lexsort((item, term, item // BLOCK))  # postings by block, then term
-        self.item, self.impact = item[order], impact[order].astype(np.float32)
-        key = item[order] // BLOCK * (len(self.terms) + 1) + term[order]
-        self.start = np.searchsorted(key, np.arange(blocks)[:, None] * (len(self.terms) + 1) + np.arange(len(self.terms) + 1)[None, :])
-        self.most = np.zeros((len(self.terms), blocks), np.float32)
-        np.maximum.at(self.most, (term[order], item[order] // BLOCK), self.impact)
-        self.least = np.zeros(n)
-        self.runs, self.question, self.answer = [], [], []
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * np.array(self.sizes, float)[item] / mean))
+        order = np.lexsort((item, term))
+        term, self.item, self.impact = term[order], item[order], impact[order]
+        self.start = np.searchsorted(term, np.arange(len(terms) + 1))
+        self.most = np.maximum.reduceat(self.impact, self.start[:-1]) if len(terms) else np.empty(0)
+        # Block maxima, only where a term stands.
+        key = term * (len(held) // BLOCK + 1) + self.item // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        self.block, self.block_most = self.item[first] // BLOCK, np.maximum.reduceat(self.impact, first) if len(key) else np.empty(0)
+        self.block_start = np.searchsorted(term[first], np.arange(len(terms) + 1))
+        self.least, self.runs, self.question, self.answer = [], [], [], []
         for k, (_, text, h) in enumerate(held):
-            own = [self.score(k // BLOCK, np.searchsorted(self.terms, h[s : s + PASSAGE]))[k % BLOCK] for s in passages(len(h))]
-            full = own[:-1] if len(own) > 1 else own
-            self.least[k] = ALPHA * min(full)
+            own = [self.score(k, np.unique(np.searchsorted(terms, h[s : s + PASSAGE])).tolist()) for s in passages(len(h))]
+            self.least.append(ALPHA * min(own[:-1] if len(own) > 1 else own) - 1e-6)
             size = min(RUN, len(h))
             self.runs.append((size, np.unique(runs_of(h, size))))
             for to, part in zip((self.question, self.answer), question_and_answer(text), strict=True):
                 to.append(np.unique(runs_of(tokens(part), size)))
-        self.block_least = np.array([self.least[b * BLOCK : (b + 1) * BLOCK].min() for b in range(blocks)])
+        self.block_least = np.array([min(self.least[b : b + BLOCK]) for b in range(0, len(held), BLOCK)])
+        self.lowest = min(self.least, default=math.inf)
 
-    def score(self, block: int, term: np.ndarray) -> np.ndarray:
-        """BM25 of a passage (term numbers, repeats count once) against each item of a block."""
-        t = np.unique(term)
-        t = t[self.most[t, block] > 0]
-        a, n = self.start[block, t], self.start[block, t + 1] - self.start[block, t]
-        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.item[at] - block * BLOCK, self.impact[at], BLOCK)
+    def score(self, item: int, terms: list[int]) -> float:
+        """BM25 of a passage (distinct term numbers) against one item."""
+        total = 0.0
+        for t in terms:
+            a, e = int(self.start[t]), int(self.start[t + 1])
+            at = a + int(np.searchsorted(self.item[a:e], item))
+            if at < e and self.item[at] == item:
+                total += float(self.impact[at])
+        return total
+
+    def reachable(self, first: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Passages with a block whose maxima reach its lowest threshold; passage p has the terms first[p] to first[p + 1]."""
+        blocks, out = len(self.block_least), np.zeros(len(first) - 1, bool)
+        step = max(1, _CELLS // max(blocks, PASSAGE))
+        for p in range(0, len(out), step):
+            q = min(p + step, len(out))
+            t = term[first[p] : first[q]]
+            passage = np.repeat(np.arange(q - p), np.diff(first[p : q + 1]))
+            n = self.block_start[t + 1] - self.block_start[t]
+            # At most PASSAGE terms a passage, so the sums are bounded piece by piece.
+            sums = np.zeros((q - p) * blocks)
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(t):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CELLS)))
+                m = n[at:to]
+                place = np.repeat(self.block_start[t[at:to]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                sums += np.bincount(np.repeat(passage[at:to] * blocks, m) + self.block[place], self.block_most[place], len(sums))
+                at = to
+            out[p:q] = (sums.reshape(q - p, blocks) >= self.block_least - 1e-6).any(axis=1)
+        return out
+
+    def wand(self, terms: list[int]) -> Iterator[tuple[int, float]]:
+        """(item number, score) of all items at or above their thresholds for a passage (distinct term numbers)."""
+        cursors = []  # item, place in its list, list of items, impacts, largest impact, blocks, block maxima
+        for t in terms:
+            a, e, ba, be = (int(x) for x in (self.start[t], self.start[t + 1], self.block_start[t], self.block_start[t + 1]))
+            items = self.item[a:e].tolist()
+            cursors.append([items[0], 0, items, self.impact[a:e], float(self.most[t]), self.block[ba:be].tolist(), self.block_most[ba:be]])
+
+        def advance(cursor: list, item: int) -> None:
+            at = bisect.bisect_left(cursor[2], item, cursor[1])
+            cursor[1], cursor[0] = at, cursor[2][at] if at < len(cursor[2]) else math.inf
+
+        while True:
+            cursors = sorted((c for c in cursors if c[0] != math.inf), key=lambda c: c[0])
+            total, pivot = 0.0, None
+            for k, c in enumerate(cursors):
+                total += c[4]
+                if total >= self.lowest:
+                    pivot = c[0]
+                    break
+            if pivot is None:
+                return
+            block, bound = pivot // BLOCK, 0.0
+            front = [c for c in cursors if c[0] <= pivot]
+            for c in front:
+                at = bisect.bisect_left(c[5], block)
+                if at < len(c[5]) and c[5][at] == block:
+                    bound += float(c[6][at])
+            if bound < self.block_least[block]:
+                # Nothing in the rest of the block either, up to the next cursor.
+                after = min([(block + 1) * BLOCK, *(c[0] for c in cursors[len(front) :])])
+                for c in front:
+                    advance(c, after)
+            elif front[0][0] < pivot:
+                for c in front:
+                    advance(c, pivot)
+            else:
+                score = sum(float(c[3][c[1]]) for c in front)
+                if score >= self.least[pivot]:
+                    yield pivot, score
+                for c in front:
+                    advance(c, pivot + 1)
 
     def search(self, text: bytes | None) -> list[dict]:
         """The items that leak into a whole text."""
@@ -112,49 +191,60 @@ class Index:
         pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
         passage, term = np.divmod(pair, len(self.terms))
         first = np.searchsorted(passage, np.arange(len(starts) + 1))
-        total = np.zeros((len(pair) + 1, self.most.shape[1]))
-        np.cumsum(self.most[term], axis=0, out=total[1:])
-        bound = total[first[1:]] - total[first[:-1]]
-        ends = np.minimum(starts + PASSAGE, len(h))
         found: dict[int, tuple[float, float, float, float]] = {}
-        for p, block in zip(*np.nonzero(bound >= self.block_least - 1e-6), strict=True):
-            inside = term[first[p] : first[p + 1]]
-            scores = self.score(block, inside)
-            top = min(BLOCK, len(self.ids) - block * BLOCK)
-            for k in block * BLOCK + np.flatnonzero(scores[:top] >= self.least[block * BLOCK : block * BLOCK + top] - 1e-6):
+        for p in np.flatnonzero(self.reachable(first, term)):
+            for k, score in self.wand(term[first[p] : first[p + 1]].tolist()):
                 size, own = self.runs[k]
-                around = runs_of(h[max(0, starts[p] - int(self.sizes[k])) : ends[p] + int(self.sizes[k])], size)
+                around = runs_of(h[max(0, starts[p] - self.sizes[k]) : starts[p] + PASSAGE + self.sizes[k]], size)
                 shares = [np.isin(x, around).mean() if len(x) else 0.0 for x in (own, self.question[k], self.answer[k])]
                 asked = shares[1] >= OVERLAP and (shares[2] > 0 or not len(self.answer[k]))
                 if (shares[0] >= OVERLAP or asked) and (k not in found or shares[0] > found[k][1]):
-                    found[k] = (float(scores[k - block * BLOCK]), *map(float, shares))
+                    found[k] = (score, *map(float, shares))
         names = ("score", "overlap", "question", "answer")
         return [{"item_id": int(self.ids[k]), **dict(zip(names, v, strict=True))} for k, v in sorted(found.items(), key=lambda x: (self.ids[x[0]], x[0]))]
 
 
-def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, bytes]]]:
-    """The items in parts of bounded size, in the order of their ids."""
-    part: list[tuple[int, bytes]] = []
-    size = 0
-    rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"))
-    for row in rows.orderBy("i", "t").toLocalIterator():
-        text = bytes(row["t"] or b"")
-        n = len(tokens(text))
-        if part and (len(part) >= PART_ITEMS or size + n > PART_TOKENS):
-            yield part
-            part, size = [], 0
-        part.append((row["i"], text))
-        size += n
-    if part:
-        yield part
+def build(benchmark: DataFrame, scratch: Scratch, id_col: str = "item_id", text_col: str = "text") -> Iterator[bytes]:
+    """The parts of the index, each built in a task; one at a time reaches the driver."""
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), text.alias("t"))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [tokens(t) for t in pdf["t"]]
+            yield pd.DataFrame({"i": pdf["i"], "t": pdf["t"], "n": [len(h) for h in made], "terms": [np.unique(h).view(np.int64) for h in made]})
+
+    rows = scratch.table(rows.mapInPandas(hashed, "i bigint, t binary, n bigint, terms array<bigint>").where("n > 0"), "items")
+    seen = rows.agg(F.count(F.lit(1)).alias("total"), F.avg("n").alias("mean"), F.sum("n").alias("tokens")).first()
+    if not seen["total"]:
+        return
+    count = max(math.ceil(seen["total"] / PART_ITEMS), math.ceil(seen["tokens"] / PART_TOKENS))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(count)).cast("int"))
+    each = dealt.select("part", F.explode("terms").alias("term"))
+    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    zero, nothing = F.lit(0).cast("long"), F.lit(b"")  # no nulls: 64-bit numbers beside them would come as floats
+    known = each.distinct().join(df, "term").select("part", F.lit(1).alias("kind"), zero.alias("i"), nothing.alias("t"), "term", "df")
+    every = dealt.select("part", F.lit(0).alias("kind"), "i", "t", zero.alias("term"), zero.alias("df")).unionByName(known)
+    total, mean = seen["total"], float(seen["mean"])
+
+    def made(pdf: pd.DataFrame) -> pd.DataFrame:
+        items, facts = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
+        terms = facts["term"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(terms)
+        index = Index([(int(i), bytes(t)) for i, t in zip(items["i"], items["t"], strict=True)], total, mean, terms[order], facts["df"].to_numpy(float)[order])
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "index": [pickle.dumps(index)]})
+
+    parts = scratch.table(every.groupBy("part").applyInPandas(made, "part int, index binary"), "parts")
+    for r in parts.orderBy("part").select("part").collect():  # numbers of the parts
+        yield bytes(parts.where(F.col("part") == r["part"]).first()["index"])
 
 
 def searcher(shared: Broadcast) -> Callable[[Column], Column]:
-    """Searches whole texts in one broadcast part of the items."""
+    """Searches whole texts in one broadcast part of the index."""
 
     @F.pandas_udf(HIT)
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(shared.value)
+        index = pickle.loads(shared.value)
         for batch in texts:
             yield pd.Series([index.search(t) for t in batch])
 
@@ -164,16 +254,19 @@ def searcher(shared: Broadcast) -> Callable[[Column], Column]:
 def find_leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "leaks") -> DataFrame:
     """All rows and columns of ``documents`` with the leaking items, an array of structs, in ``out``."""
     spark = documents.sparkSession
-    found = []
-    for part in parts(benchmark):
-        shared = spark.sparkContext.broadcast(part)  # at most PART_ITEMS items and PART_TOKENS tokens
-
-        found.append(searcher(shared)(F.col(text_col).cast("binary")))
-    if not found:
+    scratch = Scratch(spark, "benchmark")
+    made, names = documents, []
+    for k, part in enumerate(build(benchmark, scratch)):
+        shared = spark.sparkContext.broadcast(part)  # about PART_ITEMS items and PART_TOKENS tokens
+        names.append(f"{out}_of_part_{k}")
+        while names[-1] in documents.columns:
+            names[-1] += "_"
+        made = made.withColumn(names[-1], searcher(shared)(F.col(text_col).cast("binary")))
+    scratch.drop("items", "parts")
+    if not names:
         return documents.withColumn(out, F.array().cast(HIT))
-    names = [f"_leaks_{k}" for k in range(len(found))]
-    made = documents.select("*", *[x.alias(n) for x, n in zip(found, names, strict=True)])
-    return made.withColumn(out, F.concat(*names) if len(names) > 1 else F.col(names[0])).drop(*names)
+    every = F.array_sort(F.concat(*names)) if len(names) > 1 else F.col(names[0])
+    return made.withColumn(out, every).drop(*names)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
