@@ -2,8 +2,10 @@
 
 Fixed patterns (e-mail, IPv4, card, phone) give the base spans of every whole text, and these the seed entities.
 Identifier-like tokens beside them (an at sign, or five digits and more) are candidates, and so are runs of number
-tokens across single spaces, of any length. Every seed and candidate stands in lexical patterns: the two words before it, and the word before with the word after. Patterns and instances
-(normalised values) make a graph over the corpus; Spark scores it in turns:
+tokens across single spaces, of any length. Every seed and candidate stands in lexical patterns: the two words before it,
+the word before with the word after, and its own spelling (digits, letters and signs; for card lengths also whether the
+check digit holds, so that numbers that fail it never share a pattern with cards; only seeds support a spelling).
+Patterns and instances (normalised values) make a graph over the corpus; Spark scores it in turns:
 
 * a pattern's score for a kind: the summed confidence of its distinct instances of that kind over that sum and the
   instances that contradict it (of another kind, or without the kind's shape; unseen ones that fit do not count);
@@ -12,7 +14,8 @@ tokens across single spaces, of any length. Every seed and candidate stands in l
   shape it has; it then takes part in the next turn.
 
 Instances at or above ``CONFIDENT`` after ``TURNS`` turns are reported wherever they stand, as spans of their kind that
-overlap no base span; a found run takes the place of its tokens. ``n_*`` count base spans, ``n_found`` the further ones.
+overlap no base span; a found run takes the place of its tokens. ``n_*`` count base spans, ``n_found`` the further ones,
+``n_spans`` both.
 
 Defined results: a null text is empty; a null id is an id; equal rows are rows of their own; no span gives the hash of
 the empty string; an empty table gives an empty result; further columns are ignored.
@@ -41,7 +44,12 @@ _MARK = re.compile(r"[0-9@]")
 _DIGITS = re.compile(r"[0-9]")
 _EDGE = "\"'`()[]{}<>,;:!?*#$%&|=."
 _NUMBER = re.compile(r"[0-9+().-]+")
+_NUMBERS = re.compile(r"[0-9]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Digits and the signs between them.
+_PLAIN = re.compile(r"[0-9 +().-]+")
 _WHITE = frozenset(" \t\n\r\x0b\x0c")
+_PARTS = _WHITE | frozenset(_EDGE)
 
 
 def _luhn(digits: str) -> bool:
@@ -133,18 +141,49 @@ def _hash(text: str) -> int:
     return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
 
 
+def _back(text: str, end: int) -> tuple[str, int]:
+    """The whole word that ends before ``end``, and where it starts; words end at white space and edge signs."""
+    while end and text[end - 1] in _PARTS:
+        end -= 1
+    start = end
+    while start and text[start - 1] not in _PARTS:
+        start -= 1
+    return text[start:end].lower(), start
+
+
+def _spelling(token: str) -> str:
+    digits = _DIGITS.findall(token)
+    shape = _LETTERS.sub("a", token) if "@" in token else _LETTERS.sub("a", _DIGITS.sub("9", token))
+    if "@" in token:
+        shape = _NUMBERS.sub("9", shape)
+    return f"s {shape} {_luhn(''.join(digits)) if 13 <= len(digits) <= 19 else ''}"
+
+
 def contexts(text: str, s: int, e: int) -> list[int]:
-    """Hashes of the lexical patterns around a span."""
-    before = [w.strip(_EDGE).lower() for w in text[max(0, s - 64) : s].rstrip(_EDGE).split()[-2:]]
-    after = [w.strip(_EDGE).lower() for w in text[e : e + 48].split()[:1]]
+    """Hashes of the lexical patterns around a span; words are taken whole."""
+    one, at = _back(text, s)
+    two = _back(text, at)[0] if at else ""
+    after = e
+    while after < len(text) and text[after] in _PARTS:
+        after += 1
+    last = after
+    while last < len(text) and text[last] not in _PARTS:
+        last += 1
+    next_ = text[after:last].lower()
     made = []
-    if len(before) == 2 and all(before):
-        made.append(_hash(f"2 {before[0]} {before[1]}"))
-    if before and before[-1] and after and after[0]:
-        made.append(_hash(f"1 {before[-1]} _ {after[0]}"))
+    if one and two:
+        made.append(_hash(f"2 {two} {one}"))
+    if one and next_:
+        made.append(_hash(f"1 {one} _ {next_}"))
     return made
 
 
+def _edges(text: str, s: int, e: int, i: int, kind: int, of: list[int]) -> list[dict]:
+    """The patterns of a span, with its own spelling."""
+    made = [(p, False) for p in contexts(text, s, e)] + [(_hash(_spelling(text[s:e])), True)]
+    return [{"p": p, "i": i, "kind": kind, "shapes": of, "spelled": spelled} for p, spelled in made]
+
+
 def shapes(token: str) -> list[int]:
     """Kinds that an unseen token can be of."""
     digits = len(_DIGITS.findall(token))
@@ -152,7 +191,9 @@ def shapes(token: str) -> list[int]:
         return [0]
     if token.count(".") >= 2 and digits + token.count(".") == len(token):
         return [1]
-    return [2, 3] if digits >= 7 and digits * 2 > len(token) else []
+    if digits < 7 or digits * 2 <= len(token) or not _PLAIN.fullmatch(token):
+        return []
+    return [k for k, most in ((2, 19), (3, 15)) if digits <= most]
 
 
 def read(documents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -167,11 +208,11 @@ def read(documents: DataFrame, scratch: Scratch) -> DataFrame:
                 edges, found = [], []
                 for k, s, e in base:
                     i = _hash(f"{k} {text[s:e].lower()}")
-                    edges += [{"p": p, "i": i, "kind": k, "shapes": [k]} for p in contexts(text, s, e)]
+                    edges += _edges(text, s, e, i, k, [k])
                 for s, e, run, whole in candidates(text, base):
                     of = shapes(text[s:e])
                     i = _hash(text[s:e].lower())
-                    edges += [{"p": p, "i": i, "kind": -1, "shapes": of} for p in contexts(text, s, e)]
+                    edges += _edges(text, s, e, i, -1, of)
                     if of:
                         found.append({"i": i, "s": s, "e": e, "run": run, "whole": whole})
                 counts = [sum(k == j for k, _, _ in base) for j in range(len(KINDS))]
@@ -179,18 +220,21 @@ def read(documents: DataFrame, scratch: Scratch) -> DataFrame:
             yield pd.DataFrame(out, columns=["rid", "doc_id", *[f"n_{k}" for k in KINDS], "base", "edges", "found"])
 
     rows = documents.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    schema = f"rid bigint, doc_id {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base string, edges array<struct<p:bigint,i:bigint,kind:int,shapes:array<int>>>, found array<struct<i:bigint,s:int,e:int,run:int,whole:boolean>>"
+    schema = f"rid bigint, doc_id {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base string, edges array<struct<p:bigint,i:bigint,kind:int,shapes:array<int>,spelled:boolean>>, found array<struct<i:bigint,s:int,e:int,run:int,whole:boolean>>"
     return scratch.table(rows.mapInPandas(work, schema), "rows")
 
 
 def bootstrap(edges: DataFrame, scratch: Scratch, turns: int = TURNS) -> DataFrame:
-    """``i, kind``: unseen instances found, from edges ``p, i, kind, shapes`` (kind -1: unseen)."""
+    """``i, kind``: unseen instances found, from edges ``p, i, kind, shapes`` (kind -1: unseen), and if there is a column
+    ``spelled``, whether the pattern is a spelling: seeds alone support those, so finds don't spread by looks."""
     edges = scratch.table(edges.dropDuplicates(["p", "i"]), "edges")
     seeds = edges.where("kind >= 0").select("i", "kind", F.lit(1.0).alias("confidence")).distinct()
     known, found = seeds, None
     for turn in range(turns):
         held = known.groupBy("i").agg(*[F.max(F.when(F.col("kind") == k, F.col("confidence")).otherwise(0.0)).alias(f"c{k}") for k in range(len(KINDS))])
         each = edges.join(held, "i", "left").na.fill(0.0, [f"c{k}" for k in range(len(KINDS))])
+        if "spelled" in edges.columns:
+            each = each.withColumns({f"c{k}": F.when(F.col("spelled") & (F.col("kind") < 0), 0.0).otherwise(F.col(f"c{k}")) for k in range(len(KINDS))})
         sums = []
         for k in range(len(KINDS)):
             other = F.greatest(*[F.col(f"c{j}") for j in range(len(KINDS)) if j != k])
@@ -208,7 +252,7 @@ def bootstrap(edges: DataFrame, scratch: Scratch, turns: int = TURNS) -> DataFra
 
 
 def find(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found`` of every row."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_spans`` of every row."""
     scratch = Scratch(documents.sparkSession, "pii")
     rows = read(documents.select("doc_id", "text"), scratch)
     found = bootstrap(rows.select(F.explode("edges").alias("x")).select("x.*"), scratch)
@@ -222,7 +266,8 @@ def find(documents: DataFrame) -> DataFrame:
     everything = F.array_sort(F.concat(parsed, F.coalesce("more", F.array().cast("array<struct<kind:int,s:int,e:int>>"))))
     text = F.array_join(F.transform(everything, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(text)
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_found"))
+    found_ = F.coalesce(F.size("more"), F.lit(0)).cast("long")
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), found_.alias("n_found"), (found_ + sum((F.col(f"n_{k}") for k in KINDS), F.lit(0))).alias("n_spans"))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
