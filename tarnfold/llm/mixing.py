@@ -144,7 +144,8 @@ def mix(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     named = sources.select(F.col("source").alias("_source"), "rank", "source_size", "target")
     kept = [f"_keep_{c}" for c in keep]
     placed = placed.join(named, placed["source"].eqNullSafe(named["_source"])).select("rank", "doc_id", "before", "size", "source_size", "target", *kept)
-    times = block_counts(slots(sources, scratch))
+    # Spark takes the rows that explode makes for few: without the hint it would broadcast a row for every block.
+    times = block_counts(slots(sources, scratch)).hint("merge")
     first, last = F.expr(f"before div {BLOCK}"), F.expr(f"(before + size - 1) div {BLOCK}")
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     words = F.least(F.col("before") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("before"), F.col("block") * BLOCK)
