@@ -598,3 +598,19 @@ def join(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle() -> str:
+    """The same rows in DuckDB's SQL: all pairs of distinct sets with a common shingle, then all that links reach."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM d),
+c AS (SELECT doc_id, s, len(s)::BIGINT AS n, md5(array_to_string(s, chr(10))) AS c FROM s),
+x AS (SELECT c, any_value(n) AS n, unnest(any_value(s)) AS g FROM c WHERE n > 0 GROUP BY c),
+p AS (SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.g = b.g AND a.c < b.c GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT DISTINCT a AS f, a AS t FROM e UNION SELECT f, b FROM r JOIN e ON t = a),
+m AS (SELECT c, min(doc_id) AS first FROM c GROUP BY 1),
+k AS (SELECT f AS c, min(first) AS least FROM r JOIN m ON t = c GROUP BY 1)
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE coalesce(least, first) END AS component_id FROM c LEFT JOIN k USING (c) LEFT JOIN m USING (c)"""

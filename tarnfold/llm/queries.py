@@ -27,4 +27,4 @@ def queries() -> dict[str, QueryFn]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license": license_scan.oracle(), "op8_mix": mixing.oracle()}
+    return {"op5_license": license_scan.oracle(), "op6_jaccard_join": jaccard_join.oracle(), "op7_suffix_dedup": suffix_dedup.oracle(), "op8_mix": mixing.oracle()}

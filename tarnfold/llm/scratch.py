@@ -17,6 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="checkpoints-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

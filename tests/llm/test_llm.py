@@ -211,7 +211,7 @@ def test_suffix_dedup(spark, large, monkeypatch):
     rng = random.Random(3)
     a, b = prose(rng, 150), prose(rng, 110)
     t = [None, "", "short", a, a, f"{prose(rng, 30)} {b} {prose(rng, 40)}", f"{prose(rng, 50)} {b}", f"{b} x", "ab" * 700, "z" * 399, "z" * 400, "z" * 401, prose(rng, 3000), f"é{a[:500]}", b + b]
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.dedup(docs(spark, t)).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.dedup(docs(spark, t)).collect()}
     assert [got[i] for i in range(len(t))] == dedup_brute(t)
     assert suffix_dedup.dedup(docs(spark, t).limit(0)).count() == 0
 
