@@ -97,6 +97,13 @@ def test_components_of_a_long_path(spark):
     assert {r["node"]: r["component"] for r in got.collect()} == {**dict.fromkeys(range(31), 0), 40: 40, 41: 40}
 
 
+def test_no_weight_without_variance(spark):
+    """Item 2 has the same rating from all users, so its pairs have no weight; the others keep theirs."""
+    rows = [(u, i, float(r)) for u in range(6) for i, r in ((1, u % 5), (2, 4), (3, 5 - u % 5))]
+    got = recommend.item_weights(spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double")).collect()
+    assert {(r["a"], r["b"]): r["weight"] for r in got} == {(1, 3): -1.0, (3, 1): -1.0}
+
+
 def test_neighbour_prediction(spark):
     train = spark.createDataFrame([(1, 11, 5.0), (1, 12, 4.0), (1, 13, 1.0), (1, 14, 2.0), (2, 10, 3.0)], "user_id bigint, item_id bigint, rating double")
     weights = spark.createDataFrame([(10, 11, 0.9), (10, 12, 0.5), (10, 13, -0.2), (10, 14, 0.1)], "a bigint, b bigint, weight double")
