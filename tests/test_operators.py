@@ -1,6 +1,7 @@
 """Operators on tiny frames with answers worked out by hand."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -92,6 +93,26 @@ def test_parent_counts_differ_deeper(spark):
         assert graph.bfs(e, w, f"p{parents}", parents).where("s = 1 AND v = 7").first()["sigma"] == want
 
 
+@pytest.mark.parametrize("parents", [False, True])
+def test_walks_in_tasks_and_by_joins_agree(spark, monkeypatch, parents):
+    """Ten nodes in a circle with chords, in several blocks of sources; a tree; at last both, then one, by joins."""
+    e = edges(spark, [(i, i + 1) for i in range(9)] + [(0, 9), (2, 6), (1, 8)] + [(30, 31), (30, 32), (31, 33)])
+    monkeypatch.setattr(graph, "TASK_PAIRS", 30)
+    w, got = S.Workspace(spark, "t"), []
+    for most in (100, 10):
+        monkeypatch.setattr(graph, "TASK_EDGES", most)
+        levels = {(r["s"], r["v"]): (r["level"], r["sigma"]) for r in graph.bfs(e, w, f"l{most}", parents).collect()}
+        got.append((levels, {(r["src"], r["dst"]): round(r["credit"], 9) for r in graph.betweenness(e, w, f"b{most}", parents).collect()}))
+    assert len(got[0][0]) == 10**2 + 4**2 and got[0] == got[1]
+
+
+def test_levels_take_no_turn_each(spark):
+    """The tables written don't grow with the depth of the graph."""
+    w = S.Workspace(spark, "t")
+    assert graph.bfs(edges(spark, [(i, i + 1) for i in range(40)]), w).agg({"level": "max"}).first()[0] == 40
+    assert len([p for p in Path(w.root.removeprefix("file://")).iterdir() if p.is_dir()]) < 15
+
+
 def test_components_of_a_long_path(spark):
     got = graph.components(edges(spark, [(i, i + 1) for i in range(30)] + [(40, 41)]), S.Workspace(spark, "t"))
     assert {r["node"]: r["component"] for r in got.collect()} == {**dict.fromkeys(range(31), 0), 40: 40, 41: 40}
