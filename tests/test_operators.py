@@ -54,6 +54,16 @@ def test_exact_jaccard(spark):
     assert mining.exact_jaccard(pairs, sets, 0.5).first()["jaccard"] == 0.6
 
 
+def test_similar_pairs_of_all_blocks(spark):
+    """Every pair at or over the bound, across blocks, whether buckets tell sets apart or not."""
+    sets = [sorted({(7 * i + k * (i % 5 + 1)) % 60 for k in range(3 + i % 9)}) for i in range(60)]
+    want = {(i, j): len({*x} & {*y}) / len({*x} | {*y}) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    df = spark.createDataFrame(list(enumerate(sets)), "item bigint, elements array<bigint>")
+    for block, width in ((100, 256), (20, 256), (20, 4)):
+        assert want and {(r["a"], r["b"]): r["jaccard"] for r in mining.similar_pairs(df, 60, 0.5, block, width).collect()} == want
+
+
 def test_bloom_and_estimate(spark):
     rows = [(i, i % 37) for i in range(400)]
     df = spark.createDataFrame(rows, "event_id bigint, user_id bigint")
