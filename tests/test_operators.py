@@ -54,6 +54,15 @@ def test_exact_jaccard(spark):
     assert mining.exact_jaccard(pairs, sets, 0.5).first()["jaccard"] == 0.6
 
 
+def test_likely_pairs(spark):
+    """As bands, then agreement: copies with some hashes changed, by amounts that leave the two bits equal or not."""
+    rows = [(i, *[(i // 4 * 37 + k * 101 + (i % 4 * (4 if k % 3 else 3) if k % 5 < i % 4 + 1 else 0)) % 1009 for k in range(36)]) for i in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(["item bigint", *[f"h{k} bigint" for k in range(36)]]))
+    for least in (0.2, 0.5, 0.9):
+        want = {tuple(r) for r in mining.agreeing(mining.band_pairs(df, 12, 3), df, 36, least).collect()}
+        assert {tuple(r) for r in mining.likely_pairs(df, 12, 3, 36, least).collect()} == want and (want or least > 0.5)
+
+
 def test_similar_pairs_of_all_blocks(spark):
     """Every pair at or over the bound, across blocks, whether buckets tell sets apart or not."""
     sets = [sorted({(7 * i + k * (i % 5 + 1)) % 60 for k in range(3 + i % 9)}) for i in range(60)]
