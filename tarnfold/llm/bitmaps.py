@@ -21,10 +21,20 @@ def pages(keys: DataFrame, key: str, bits: int = BITS) -> DataFrame:
     return keys.select(page.alias("_page"), place.alias("_place")).groupBy("_page").agg(F.bitmap_construct_agg("_place").alias("_bits"))
 
 
-def holding(df: DataFrame, key: str, made: DataFrame, bits: int = BITS) -> DataFrame:
-    """The rows of ``df`` whose key has its bit set in the written ``pages``."""
+def _joined(df: DataFrame, key: str, made: DataFrame, bits: int, how: str) -> tuple[DataFrame, Column]:
     page, place = _place(F.col(key), bits)
     byte = F.conv(F.hex(F.substring("_bits", F.shiftright(F.col("_place"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     there = F.getbit(byte, F.col("_place").bitwiseAND(7).cast("int")) == 1
-    joined = df.withColumn("_at", page).withColumn("_place", place).join(F.broadcast(made), F.col("_at") == F.col("_page"))  # 2**(bits - 3) bytes at most
+    return df.withColumn("_at", page).withColumn("_place", place).join(F.broadcast(made), F.col("_at") == F.col("_page"), how), there  # 2**(bits - 3) bytes at most
+
+
+def holding(df: DataFrame, key: str, made: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows of ``df`` whose key has its bit set in the written ``pages``."""
+    joined, there = _joined(df, key, made, bits, "inner")
     return joined.where(there).select(*df.columns)
+
+
+def missing(df: DataFrame, key: str, made: DataFrame, bits: int = BITS) -> DataFrame:
+    """The other rows."""
+    joined, there = _joined(df, key, made, bits, "left")
+    return joined.where(~F.coalesce(there, F.lit(False))).select(*df.columns)
