@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,23 +68,25 @@ REACH = BYTES.reach
 BATCH = 4096
 LARGE = 65536
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_VALUES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = 1 << 20
 #: Bytes of texts whose words are hashed at once.
 _CHUNK = 1 << 17
 
 
 def run_hashes(a: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k bytes, by doubling: a run's hash joins those of its two halves."""
+    """Hash of every run of k bytes: a polynomial over a random value for each byte, by doubling, mixed at the end."""
     if len(a) < k:
         return np.empty(0, np.uint64)
-    h, size, out, done = mix(a.astype(np.uint64) + np.uint64(1)), 1, None, 0
+    h, size, out, done = _VALUES[a], 1, None, 0
     while True:
+        power = np.uint64(pow(int(_BASE), size, 1 << 64))
         if k & size:
-            out = h if out is None else mix(out[: len(a) - done - size + 1] * _BASE + h[done : done + len(a) - done - size + 1])
+            out = h if out is None else out[: len(a) - done - size + 1] * power + h[done : done + len(a) - done - size + 1]
             done += size
         if done == k:
-            return out[: len(a) - k + 1]
-        h = mix(h[:-size] * _BASE + h[size:])
+            return mix(out[: len(a) - k + 1])
+        h = h[:-size] * power + h[size:]
         size *= 2
 
 
@@ -188,21 +191,24 @@ def induce(groups: np.ndarray, text: np.ndarray, pad: int, grain: Grain, first:
     g = len(groups)
     out = np.zeros((g, grain.reach + 1), bool)
     order = np.argsort(groups, kind="stable")
-    lcp = np.zeros(g, np.int64)
-    number = np.unique(groups, return_inverse=True)[1] * (pad + 1)
+    lcp = np.zeros(g, np.int32)
+    # The sort keeps groups together, so their numbers stand still; 16 bits and less are sorted by radix.
+    number = np.unique(groups, return_inverse=True)[1][order]
+    number = number.astype(np.uint16 if number[-1] < 1 << 16 else np.int64)
+    joined = number[1:] == number[:-1]
     for j in range(len(text) - 1, -1, -1):
         value_ = text[j][order]
-        key = number[order] + value_
-        to = np.argsort(key, kind="stable")
-        sorted_key = key[to]
-        same = np.flatnonzero((sorted_key[1:] == sorted_key[:-1]) & (value_[to[1:]] != pad)) + 1
+        to = np.argsort(value_, kind="stable")
+        to = to[np.argsort(number[to], kind="stable")]
+        value_ = value_[to]
+        same = np.flatnonzero(joined & (value_[1:] == value_[:-1]) & (value_[1:] != pad)) + 1
         low, high = to[same - 1] + 1, to[same]
-        new = np.zeros(g, np.int64)
+        new = np.zeros(g, np.int32)
         if len(same):
             # Least common prefix over low..high, by tables of doubling length.
             gap = high - low + 1
             level = np.frexp(gap)[1] - 1
-            value = np.empty(len(same), np.int64)
+            value = np.empty(len(same), np.int32)
             table, size = lcp, 1
             for k in range(int(level.max()) + 1):
                 here = np.flatnonzero(level == k)
@@ -225,27 +231,28 @@ def induce(groups: np.ndarray, text: np.ndarray, pad: int, grain: Grain, first:
     return out
 
 
-def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of true values as (first, last)."""
-    step = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
-    return list(zip(np.flatnonzero(step == 1).tolist(), (np.flatnonzero(step == -1) - 1).tolist(), strict=True))
+def intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of true values in each row as row, first, last."""
+    step = np.diff(np.pad(flags.view(np.int8), ((0, 0), (1, 1))), axis=1)
+    at, first = np.nonzero(step == 1)
+    return at, first, np.nonzero(step == -1)[1] - 1
 
 
-def _matrix(contexts: list[bytes], lefts: list[int], grain: Grain) -> tuple[np.ndarray, int]:
-    """Unit values of aligned contexts, small numbers, and the value that stands outside."""
-    if grain == BYTES:
-        out = np.full((grain.length, len(contexts)), 255, np.uint8)  # no byte of UTF-8
-        for k, (c, left) in enumerate(zip(contexts, lefts, strict=True)):
-            out[grain.reach - left : grain.reach - left + len(c), k] = np.frombuffer(c, np.uint8)
-        return out, 255
-    units = [np.frombuffer(c, np.uint64) for c in contexts]
-    _, number = np.unique(np.concatenate(units), return_inverse=True)
-    out = np.full((grain.length, len(contexts)), number.max() + 1, np.int64)
-    at = 0
-    for k, (u, left) in enumerate(zip(units, lefts, strict=True)):
-        out[grain.reach - left : grain.reach - left + len(u), k] = number[at : at + len(u)]
-        at += len(u)
-    return out, int(number.max()) + 1
+def _matrix(parts: pa.BinaryArray, lefts: np.ndarray, grain: Grain) -> tuple[np.ndarray, int]:
+    """Unit values of aligned contexts, a column each, and the value that stands outside (no byte of UTF-8, no word's hash but one)."""
+    kind = np.dtype(np.uint8 if grain == BYTES else np.uint64)
+    pad = np.iinfo(kind).max
+    ends = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1] // kind.itemsize
+    units = np.frombuffer(parts.buffers()[2], kind, int(ends[-1]))
+    out = np.empty((grain.length, len(parts)), kind)
+    column = np.arange(grain.length)
+    for a in range(0, len(parts), BATCH):
+        b = min(a + BATCH, len(parts))
+        first = (grain.reach - lefts[a:b])[:, None]
+        some = np.full((b - a, grain.length), pad, kind)
+        some[(column >= first) & (column < first + np.diff(ends[a : b + 1])[:, None])] = units[ends[a] : ends[b]]
+        out[:, a:b] = some.T
+    return out, int(pad)
 
 
 def find_seeds(documents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -290,40 +297,63 @@ def extract(flagged: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(flagged.mapInPandas(read, "rid bigint, text binary, seed bigint, context bigint, left bigint, part binary, first bigint, last bigint"), "extracted")
 
 
+def _changes(rows: pa.Table, *columns: str) -> np.ndarray:
+    """Where a row differs from the one before; the first does."""
+    out = np.ones(rows.num_rows, bool)
+    out[1:] = False
+    for c in columns:
+        x = rows[c].to_numpy()
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
 def sort_contexts(contexts: DataFrame) -> DataFrame:
     """``seed, context, low, high``: columns where repeated strings start, by induced sorting in batches of groups.
 
     Rows ``group, lo, hi, seed, context, left, part, first, last``: a group's strings start in the columns lo to hi - 1.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[Grain, list[tuple]] = {g: [] for g in GRAINS}
-
-        def solve(grain: Grain) -> pd.DataFrame:
-            rows = held[grain]
-            held[grain] = []
-            numbers = np.cumsum([0] + [x.group != y.group or x.lo != y.lo for x, y in zip(rows, rows[1:], strict=False)])
-            docs = [np.array([getattr(r, c) for r in rows], np.int64) for c in ("first", "last")] if grain == WORDS else [None, None]
-            flags = induce(numbers, *_matrix([r.part for r in rows], [r.left for r in rows], grain), grain, *docs)
-            out = []
-            for r, f in zip(rows, flags, strict=True):
-                f[: r.lo] = f[r.hi :] = False
-                if f.any():
-                    out += [(r.seed, r.context, a, b) for a, b in intervals(f)]
-            return pd.DataFrame(out, columns=["seed", "context", "low", "high"], dtype="int64")
-
-        for _, group in _groups(batches, ["group", "lo"]):
-            once = list({(r.seed, r.context): r for r in group}.values())
-            grain = GRAINS[once[0].seed & 1]
-            if len(once) > 1:
-                held[grain] += once
-            if len(held[grain]) >= BATCH:
-                yield solve(grain)
-        for grain in GRAINS:
-            if held[grain]:
-                yield solve(grain)
-
-    return contexts.repartition("group", "lo").sortWithinPartitions("group", "lo", "seed", "context").mapInPandas(work, "seed bigint, context bigint, low bigint, high bigint")
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for k, grain in enumerate(GRAINS):
+            some = rows.filter(pa.array(rows["seed"].to_numpy() & 1 == k))
+            if not some.num_rows:
+                continue
+            new, other = _changes(some, "group", "lo"), _changes(some, "seed", "context")
+            some, new = some.filter(pa.array(new | other)), new[new | other]  # each context once
+            number = np.cumsum(new) - 1
+            several = np.bincount(number)[number] > 1
+            some, number = some.filter(pa.array(several)), number[several]
+            if not some.num_rows:
+                continue
+            c = {x: some[x].to_numpy() for x in some.column_names if x != "part"}
+            docs = [c["first"], c["last"]] if grain == WORDS else [None, None]
+            flags = induce(number, *_matrix(some["part"].combine_chunks(), c["left"], grain), grain, *docs)
+            if c["lo"].any() or (c["hi"] <= grain.reach).any():
+                column = np.arange(grain.reach + 1)
+                flags &= (column >= c["lo"][:, None]) & (column < c["hi"][:, None])
+            at, low, high = intervals(flags)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["seed"][at], c["context"][at], low, high)], ["seed", "context", "low", "high"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the last one's last group may go on
+        count = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            new = _changes(table, "group", "lo")
+            new[0] = bool(held) and any(held[-1][x][-1].as_py() != table[x][0].as_py() for x in ("group", "lo"))
+            cut = np.flatnonzero(new)
+            if count + table.num_rows >= BATCH and len(cut):
+                yield from solve(pa.concat_tables([*held, table.slice(0, cut[-1])]).combine_chunks())
+                held, count = [], 0
+                table = table.slice(cut[-1])
+            held.append(table)
+            count += table.num_rows
+        if held:
+            yield from solve(pa.concat_tables(held).combine_chunks())
+
+    return contexts.repartition("group", "lo").sortWithinPartitions("group", "lo", "seed", "context").mapInArrow(work, "seed bigint, context bigint, low bigint, high bigint")
 
 
 def halves(rows: DataFrame) -> DataFrame:
