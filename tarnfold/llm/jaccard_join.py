@@ -4,7 +4,8 @@
    second such sum beside them tells unlike sets apart that share an id, so only 128 equal bits make a class.
 2. Between unlike texts every Jaccard distance is 1, so pivots drawn from the whole corpus would tell nothing apart.
    The first pivots are therefore chosen through shared shingles: sets A and B with J(A, B) >= t share one of the first
-   ``n - ceil(t n) + 1`` shingles of each, in any common order (rare ones first, by a corpus-wide count sketch). All
+   ``n - ceil(t n) + 1`` shingles of each, in any common order (rare ones first, by a corpus-wide count sketch; its ranks
+   part counts by less than a tenth, so a shared passage still shows where unlike shingles fill every cell). All
    classes that hold such an anchor form a region around one of them, so each linked pair meets in a region. Profiles
    (shingle counts in buckets, which differ by no more than the sets) split regions that only share a passage.
 3. Distance to a pivot obeys the triangle inequality. In a region of more than ``LEAF`` members, ``PIVOTS`` members
@@ -15,12 +16,15 @@
    whose distance to the pivot lets them reach one of the others. Cells are joined in the same way again.
 4. Regions of at most ``LEAF`` members are joined inside a task by the same steps, pivots, cells and windows, down to
    ``FEW`` members or cells that windows no longer shrink, whose sets meet directly.
+   Cells that overlap so much that together they meet more pairs than their members have become one region again, whose
+   members meet directly: no level has more pairs than the one above it.
 5. Larger cells that windows no longer shrink (more than ``SHRINK`` of their parent, or deeper than ``DEPTH``) are cut
    into blocks and joined block against block: exact too, but the work grows with the square of such a cell's members.
    Regions of more than ``PRUNE`` members go to the pivots without a look at the profiles: that changes work only.
 
-What moves between executors: a count of each anchor; a bitmap of the repeated ones (``bitmaps.BITS``) then lets little
-more than those through to their regions; profiles and texts move for the classes that a region still holds.
+What moves between executors: the least and greatest class of each anchor; a bitmap of those with two classes
+(``bitmaps.BITS``; copies of one class set no bit) then lets little more than those through to their regions; profiles and
+texts move for the classes that a region still holds.
 
 Only a spanning forest of the links leaves a region; components follow by star steps. A region's members are dealt out
 in parts of ``PART`` with a copy of the pivots, so no group meets in one task, and nothing is capped or dropped.
@@ -56,10 +60,16 @@ DEPTH = 6
 SHRINK = 0.7
 SKETCH_BITS = 22
 PROFILE = 128
+#: Ranks of counts for every doubling: 8 bits hold counts to 2**32.
+RANKS = 7.9
+#: Indices of the sketch that a task gathers before it counts them.
+GATHERED = 1 << 20
 #: Larger regions go to the pivots without a look at the profiles.
 PRUNE = 1024
 #: Members of a block where blocks are joined.
 BLOCK = 512
+#: Members of small regions for each task that joins them.
+TASK_ROWS = 1024
 #: Rows of a few numbers that are broadcast to the texts, 10 MB or so; more are shuffled with them.
 SENT_ROWS = 200_000
 _CHUNK_BITS = 16
@@ -186,14 +196,19 @@ def _by_pivots(sets: list[np.ndarray], near: Union) -> Iterator[tuple[int, int]]
                 yield pivots[int(k)], rest[int(j)]
         home = d.min(axis=0)
         root = np.array([near.root(i) for i in rest])
+        cells = [np.flatnonzero(home >= 1 - 2 * e - 1e-9)]
         for k, p in enumerate(pivots):
             inside = (d[k] < 1) & (d[k] <= home + 2 * e + 1e-9)
             core = root == near.root(p)
             if (open_ := inside & ~core).any():
                 low, high = d[k][open_].min(), d[k][open_].max()
                 inside &= ~core | ((d[k] >= low - e - 1e-9) & (d[k] <= high + e + 1e-9))
-                todo.append(([rest[int(j)] for j in np.flatnonzero(inside)], m))
-        todo.append(([rest[int(j)] for j in np.flatnonzero(home >= 1 - 2 * e - 1e-9)], m))
+                cells.append(np.flatnonzero(inside))
+        every = np.unique(np.concatenate(cells))
+        if sum(len(c) ** 2 for c in cells) > len(every) ** 2:
+            yield from _direct([rest[int(j)] for j in every], sets, near)  # cells that repeat each other: once is enough
+        else:
+            todo += [([rest[int(j)] for j in c], m) for c in cells]
 
 
 def region_links(ids: list[int], roots: list[int], sets: list[np.ndarray], side: list[int] | None = None) -> Iterator[tuple[int, int]]:
@@ -221,12 +236,17 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
         yield at, held
 
 
+def ranks(totals: np.ndarray) -> np.ndarray:
+    """Logarithms of counts in one byte each."""
+    return (RANKS * np.log2(totals + 1.0)).astype(np.uint8)
+
+
 def describe(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, n, cid, check`` of every row, and for each bucket of shingles the logarithm of its count in the corpus."""
+    """``doc_id, n, cid, check`` of every row, and for each bucket of shingles the rank of its count in the corpus."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts, held, size = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
         for pdf in batches:
             n, ids, checks = [], [], []
             for text in pdf["text"]:
@@ -234,8 +254,14 @@ def describe(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndar
                 n.append(len(s))
                 ids.append(class_id(s) if len(s) else None)
                 checks.append(check_id(s) if len(s) else None)
-                np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                held.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                size += len(s)
+                if size >= GATHERED:
+                    counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
+                    held, size = [], 0
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "cid": pd.array(ids, "Int64"), "check": pd.array(checks, "Int64"), "chunk": None, "counts": None})
+        if size:
+            counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
         if counts.any():
             parts = counts.reshape(-1, 1 << _CHUNK_BITS)
             yield pd.DataFrame({"doc_id": None, "n": 0, "cid": None, "check": None, "chunk": range(len(parts)), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
@@ -244,7 +270,7 @@ def describe(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndar
         total = np.zeros(1 << _CHUNK_BITS, np.float64)
         for c in pdf["counts"]:
             total += np.frombuffer(zlib.decompress(c), np.uint32)
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "logs": [np.log2(total + 1).astype(np.uint8).tobytes()]})
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "logs": [ranks(total).tobytes()]})
 
     made = documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(read, f"doc_id {kind}, n bigint, cid bigint, check bigint, chunk int, counts binary")
     table = scratch.table(made, "described")
@@ -288,6 +314,12 @@ def with_anchors(documents: DataFrame, logs: np.ndarray, percent: int = PERCENT)
     return _keyed(documents).mapInPandas(read, "cid bigint, check bigint, n bigint, anchors array<bigint>, profile binary, one bigint, two bigint")
 
 
+def shared_anchors(anchored: DataFrame, scratch: Scratch) -> DataFrame:
+    """``anchor, region`` of the anchors that two classes hold, however many rows a class has; the least one names the region."""
+    ends = anchored.groupBy("anchor").agg(F.min("cid").alias("region"), F.max("cid").alias("last"))
+    return scratch.table(ends.where("region <> last").select("anchor", "region"), "leaders")
+
+
 def texts_of(documents: DataFrame, classes: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
     """``cid, text`` of the classes of ``kept``, at least once each and at most once a task."""
     held = bitmaps.holding(classes.select("cid", "one", "two"), "cid", scratch.table(bitmaps.pages(kept, "cid"), "kept-ids"))
@@ -320,8 +352,8 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
-def _sorted_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+def _sorted_rows(rows: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    return rows.repartition(*([parts] if parts else []), *keys).sortWithinPartitions(*keys, *order)
 
 
 def _stream(f: Callable, schema: str, rows: DataFrame) -> DataFrame:
@@ -404,8 +436,11 @@ def prune(rows: DataFrame) -> DataFrame:
     return _stream(work, "region bigint, cid bigint", _sorted_rows(rows, ["region"], ["cid"])).distinct()
 
 
-def join_leaves(rows: DataFrame) -> DataFrame:
-    """Edges ``a, b`` of regions of bounded size: rows ``region, root, cid, side, text``, sides below 0 unless two blocks meet."""
+def join_leaves(rows: DataFrame, count: int = 0) -> DataFrame:
+    """Edges ``a, b`` of regions of bounded size: rows ``region, root, cid, side, text``, sides below 0 unless two blocks meet.
+
+    ``count`` rows go to a task for every TASK_ROWS and to all cores at least: few bytes are much work here.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int]] = []
@@ -419,7 +454,7 @@ def join_leaves(rows: DataFrame) -> DataFrame:
                 out = []
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return _stream(work, "a bigint, b bigint", _sorted_rows(rows, ["region"], ["cid"]))
+    return _stream(work, "a bigint, b bigint", _sorted_rows(rows, ["region"], ["cid"], max(2 * rows.sparkSession.sparkContext.defaultParallelism, count // TASK_ROWS)))
 
 
 def to_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -479,13 +514,14 @@ def join_regions(regions: DataFrame, texts: DataFrame, scratch: Scratch) -> list
         sized = scratch.table(_sized(regions), f"regions-{level}")
         scratch.drop(f"cells-{level - 1}")
         small = sized.where(F.col("members").between(2, LEAF)).withColumn("side", F.lit(-1))
-        edges.append(scratch.table(join_leaves(told(small).select("region", "root", "cid", "side", "text")), f"edges-{level}"))
+        edges.append(scratch.table(join_leaves(told(small).select("region", "root", "cid", "side", "text"), small.count()), f"edges-{level}"))
         large = sized.where(F.col("members") > LEAF)
         if large.isEmpty():
             return edges
         stuck = large.where((F.col("members") > SHRINK * F.col("was")) | F.lit(level >= DEPTH))
         if not stuck.isEmpty():
-            edges.append(scratch.table(join_leaves(told(blocks(stuck))), f"edges-blocks-{level}"))
+            met = blocks(stuck)
+            edges.append(scratch.table(join_leaves(told(met), met.count()), f"edges-blocks-{level}"))
         large = large.where((F.col("members") <= SHRINK * F.col("was")) & F.lit(level < DEPTH))
         if large.isEmpty():
             return edges
@@ -497,7 +533,8 @@ def join_regions(regions: DataFrame, texts: DataFrame, scratch: Scratch) -> list
         dealt = told(large.withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int")))
         measured = scratch.table(to_pivots(dealt, pivots), f"measured-{level}")
         edges.append(measured.select(F.col("cid").alias("a"), F.explode("near").alias("b")).where("a <> b"))
-        regions = scratch.table(next_cells(measured, scratch.table(pivot_roots(measured), f"roots-{level}"), large.select("region", "members").distinct()), f"cells-{level}")
+        regions = next_cells(measured, scratch.table(pivot_roots(measured), f"roots-{level}"), large.select("region", "members").distinct())
+        regions = uncrowded(scratch.table(regions, f"cells-{level}"))
         level += 1
 
 
@@ -539,7 +576,22 @@ def next_cells(measured: DataFrame, roots: DataFrame, parents: DataFrame) -> Dat
     none = left.where("far").select(F.col("region").alias("parent"), F.xxhash64("region", F.lit("none")).alias("region"), "cid", F.col("newroot").alias("root"))
     cells = inside.select("parent", "region", "cid", "root").unionByName(none)
     open_ = cells.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("region")
-    return cells.join(open_, "region").join(parents.select(F.col("region").alias("parent"), F.col("members").alias("was")), "parent").drop("parent")
+    return cells.join(open_, "region").join(parents.select(F.col("region").alias("parent"), F.col("members").alias("was")), "parent")
+
+
+def uncrowded(cells: DataFrame) -> DataFrame:
+    """``region, cid, root, was``: cells that would meet more pairs than all of their members have become one region.
+
+    A member stands in every cell within its window, so cells of sets that lie equally far from all pivots repeat each
+    other, level by level. Their members meet once instead: ``was`` 0 sends them to the blocks.
+    """
+    members = cells.groupBy("parent", "cid").agg(F.min("root").alias("root"))
+    pairs = cells.groupBy("parent", "region").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("parent").agg(F.sum(F.col("k") * F.col("k")).alias("pairs"))
+    every = members.groupBy("parent").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    crowded = pairs.join(every, "parent").where(F.col("pairs") > F.col("k") * F.col("k")).select("parent")
+    crowded = _bounded(crowded)  # a parent may have many rows
+    one = members.join(crowded, "parent", "left_semi").select(F.xxhash64("parent", F.lit("one")).alias("region"), "cid", "root", F.lit(0).cast("bigint").alias("was"))
+    return cells.join(crowded, "parent", "left_anti").select("region", "cid", "root", "was").unionByName(one)
 
 
 def blocks(large: DataFrame) -> DataFrame:
@@ -565,12 +617,11 @@ def join(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         described, classes = (scratch.table(apart(df, clash), name) for df, name in ((described, "described-apart"), (classes, "classes-apart")))
         per = scratch.table(described.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first")), "per-apart")
     anchored = classes.select("cid", F.explode("anchors").alias("anchor"))
-    # Counts are summed before the shuffle, so a frequent anchor costs little; the bitmap lets the few repeated ones through.
-    repeated = anchored.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    shared = scratch.table(bitmaps.holding(anchored, "anchor", scratch.table(bitmaps.pages(repeated, "anchor"), "repeated")), "shared")
-    leaders = shared.groupBy("anchor").agg(F.min("cid").alias("region"), F.max("cid").alias("last")).where("region <> last").select("anchor", "region")
+    # Classes are told apart before the shuffle, so a frequent anchor costs little; the bitmap lets the few shared ones through.
+    leaders = shared_anchors(anchored, scratch)
+    shared = bitmaps.holding(anchored, "anchor", scratch.table(bitmaps.pages(leaders, "anchor"), "shared"))
     members = scratch.table(shared.join(leaders, "anchor").select("region", "cid").distinct(), "first-members")
-    scratch.drop("repeated", "shared")
+    scratch.drop("leaders", "shared")
     # A class read in several tasks has a row for each.
     profiles = classes.select(F.col("cid").alias("_cid"), F.col("n").alias("_n"), "profile")
     profiles = scratch.table(bitmaps.holding(profiles, "_cid", scratch.table(bitmaps.pages(members, "cid"), "member-ids")).dropDuplicates(["_cid"]), "profiles")

@@ -48,6 +48,40 @@ def test_regions_by_pivots(monkeypatch, seed):
     assert used and parts(n, got) == parts(n, want) and all(a != b for a, b in got) and set(map(frozenset, got)) <= set(map(frozenset, want))
 
 
+def equally_far(n, rng):
+    """Sets that share two thirds of their shingles: no two are linked, and windows around pivots part none of them."""
+    core = rng.integers(0, 1 << 62, 100).astype(np.uint64)
+    return [np.unique(np.concatenate([core, rng.integers(0, 1 << 62, 50).astype(np.uint64)])) for _ in range(n)]
+
+
+def test_cells_that_repeat_each_other_meet_once(monkeypatch):
+    """Regions of sets equally far from all pivots: twelve cells of nearly all members each are joined as one."""
+    sets, met = equally_far(192, np.random.default_rng(1)), []
+    plain = jaccard_join.intersections
+    monkeypatch.setattr(jaccard_join, "intersections", lambda own: met.append(len(own)) or plain(own))
+    assert not list(jaccard_join.region_links(list(range(192)), list(range(192)), sets))
+    assert sum(m * m for m in met) < 2 * 192**2
+
+
+def test_crowded_cells_become_one_region(spark):
+    """Three cells of the same four members become one, which goes to the blocks; cells apart from each other stay."""
+    crowded = [(1, r, c, c, 10) for r in (11, 12, 13) for c in range(4)]
+    apart = [(2, 21 + c // 2, c, c, 10) for c in range(4)]
+    made = spark.createDataFrame(crowded + apart, "parent bigint, region bigint, cid bigint, root bigint, was bigint")
+    got = [tuple(r) for r in jaccard_join.uncrowded(made).collect()]
+    assert sorted(r for r in got if r[3]) == [x[1:] for x in apart]
+    one = [r for r in got if not r[3]]
+    assert sorted(r[1:3] for r in one) == [(c, c) for c in range(4)] and len({r[0] for r in one}) == 1
+
+
+def test_copies_share_no_anchor_and_ranks_part_counts(spark):
+    """A class read in two tasks doesn't make its anchors shared; a passage in 80 texts shows among cells of 400."""
+    made = spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, 8), (2, 9)], "cid bigint, anchor bigint")
+    assert [tuple(r) for r in jaccard_join.shared_anchors(made, Scratch(spark, "t")).collect()] == [(8, 1)]
+    low, high, most = jaccard_join.ranks(np.array([400, 480, 2**32 - 1]))
+    assert low < high < most
+
+
 def test_profiles_bound_the_difference():
     rng = np.random.default_rng(3)
     for n, m in ((20, 25), (600, 700), (900, 1100), (5000, 6000), (40_000, 41_000)):
