@@ -104,6 +104,32 @@ def test_betweenness(spark):
     assert {r["node"]: r["component"] for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
 
 
+def test_communities_of_components_in_tasks(spark, monkeypatch):
+    """Removals in tasks give what a round of jobs for each removal gives: components alike (ties), unlike and of one edge."""
+    ring = [(k, (k + 1) % 5) for k in range(5)] + [(0, 2), (4, 5), (5, 6), (5, 7), (6, 7)]
+    pairs = [(b + min(p), b + max(p)) for b in (0, 100) for p in ring] + [(200 + i, 201 + i) for i in range(5)] + [(300, 301)]
+    rounds, plain = [], graph.modularity
+    monkeypatch.setattr(graph, "modularity", lambda *a: rounds.append(1) or plain(*a))
+    found, q = graph.girvan_newman(edges(spark, pairs), S.Workspace(spark, "t"))
+    assert not rounds  # before: jobs for each removal
+    want, best = graph.girvan_newman_by_joins(edges(spark, pairs), S.Workspace(spark, "t"))
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.select("node", "component").collect()} and q == pytest.approx(best)
+
+
+def test_removals_keep_credits_up_to_date():
+    """After each removal a part's credits are those of a walk from all its sources."""
+    rng = np.random.default_rng(5)
+    pairs = np.array(sorted({(min(p), max(p)) for p in rng.integers(0, 40, (110, 2)).tolist() if p[0] != p[1]} | {(k, k + 1) for k in range(39)}))
+    todo, seen = [graph._Piece(np.arange(40), pairs)], 0
+    while todo:
+        piece = todo.pop()
+        fresh = graph._Piece(piece.nodes, piece.nodes[piece.ends])
+        assert np.allclose(fresh.credit, piece.credit) and (fresh.level == piece.level).all()
+        parts, seen = piece.without_top(), seen + 1
+        todo += [piece] if parts is None else parts
+    assert seen > 40
+
+
 def test_parent_counts_differ_deeper(spark):
     """Two diamonds in a row: four shortest paths reach the end, but it has two parents."""
     e = edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (4, 6), (5, 7), (6, 7)])
