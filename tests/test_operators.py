@@ -1,16 +1,20 @@
 """Operators on tiny frames with answers worked out by hand."""
 
 import math
+import random
+from collections import Counter, defaultdict
+from itertools import combinations
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tarnfold import functions as fn
 from tarnfold import sources as S
 from tarnfold import streaming as T
-from tarnfold.operators import clustering, graph, markup, mining, ordered, recommend, search, statistics, traffic
+from tarnfold.operators import clustering, graph, markup, mining, ordered, recommend, relational, search, statistics, traffic
 from tarnfold.plans.streams import BITS, BLOOM
 from tests.conftest import DATA
 
@@ -54,6 +58,41 @@ def test_exact_jaccard(spark):
     assert mining.exact_jaccard(pairs, sets, 0.5).first()["jaccard"] == 0.6
 
 
+def test_pair_overlap(spark, monkeypatch):
+    """As in a plain loop, whatever the size of the blocks; copies with other keys meet before the shuffle, so few rows go through it."""
+    draw = random.Random(3)
+    rows = [(None, 1), (1, None)] + [(c * 100 + draw.randrange(40), c * 1000 + p) for c in range(8) for p in range(300) for _ in range(10)]
+    held = defaultdict(set)
+    for a, p in rows[2:]:
+        held[p].add(a)
+    want = Counter(x for v in held.values() for x in combinations(sorted(v), 2))
+    df = spark.createDataFrame(rows, "s bigint, p bigint")
+
+    def written():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        was = written()
+        got = {(r["a"], r["b"]): r["common"] for r in relational.pair_overlap(df, "s", "p", 1).collect()}
+        moved = sum(n for k, n in written().items() if k not in was)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == want and moved < len(rows) + 1.8 * len(want)
+    by_part = sorted(rows[2:], key=lambda r: r[1])
+    table = pa.table({"shared": [p for _, p in by_part], "a": [a for a, _ in by_part]})
+    for most, cells in ((1, 1 << 22), (100, 50), (1 << 20, 7)):
+        monkeypatch.setattr(relational, "PAIR_ROWS", most)
+        monkeypatch.setattr(relational, "PAIR_CELLS", cells)
+        sums = Counter()
+        for b in relational._pair_counts(iter(table.to_batches(64))):
+            for r in b.to_pylist():
+                sums[r["a"], r["b"]] += r["common"]
+        assert sums == want
+
+
 def test_likely_pairs(spark):
     """As bands, then agreement: copies with some hashes changed, by amounts that leave the two bits equal or not."""
     rows = [(i, *[(i // 4 * 37 + k * 101 + (i % 4 * (4 if k % 3 else 3) if k % 5 < i % 4 + 1 else 0)) % 1009 for k in range(36)]) for i in range(40)]
