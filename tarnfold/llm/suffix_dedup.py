@@ -238,20 +238,25 @@ def intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, first, np.nonzero(step == -1)[1] - 1
 
 
-def _matrix(parts: pa.BinaryArray, lefts: np.ndarray, grain: Grain) -> tuple[np.ndarray, int]:
-    """Unit values of aligned contexts, a column each, and the value that stands outside (no byte of UTF-8, no word's hash but one)."""
+def _matrix(parts: pa.ChunkedArray, at: np.ndarray, lefts: np.ndarray, grain: Grain) -> tuple[np.ndarray, int]:
+    """Unit values of the aligned contexts at some places (ascending), a column each, and the value that stands outside (no byte of UTF-8, no word's hash but one)."""
     kind = np.dtype(np.uint8 if grain == BYTES else np.uint64)
     pad = np.iinfo(kind).max
-    ends = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1] // kind.itemsize
-    units = np.frombuffer(parts.buffers()[2], kind, int(ends[-1]))
-    out = np.empty((grain.length, len(parts)), kind)
+    out = np.empty((grain.length, len(at)), kind)
     column = np.arange(grain.length)
-    for a in range(0, len(parts), BATCH):
-        b = min(a + BATCH, len(parts))
-        first = (grain.reach - lefts[a:b])[:, None]
-        some = np.full((b - a, grain.length), pad, kind)
-        some[(column >= first) & (column < first + np.diff(ends[a : b + 1])[:, None])] = units[ends[a] : ends[b]]
-        out[:, a:b] = some.T
+    done = offset = 0
+    for chunk in parts.chunks:
+        end = int(np.searchsorted(at, offset + len(chunk)))
+        for a in range(done, end, BATCH):
+            b = min(a + BATCH, end)
+            taken = chunk.take(pa.array(at[a:b] - offset))
+            ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1] // kind.itemsize
+            units = np.frombuffer(taken.buffers()[2], kind, int(ends[-1]))
+            first = (grain.reach - lefts[a:b])[:, None]
+            some = np.full((b - a, grain.length), pad, kind)
+            some[(column >= first) & (column < first + np.diff(ends)[:, None])] = units[ends[0] :]
+            out[:, a:b] = some.T
+        done, offset = end, offset + len(chunk)
     return out, int(pad)
 
 
@@ -297,63 +302,78 @@ def extract(flagged: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(flagged.mapInPandas(read, "rid bigint, text binary, seed bigint, context bigint, left bigint, part binary, first bigint, last bigint"), "extracted")
 
 
-def _changes(rows: pa.Table, *columns: str) -> np.ndarray:
+def _changes(*columns: np.ndarray) -> np.ndarray:
     """Where a row differs from the one before; the first does."""
-    out = np.ones(rows.num_rows, bool)
+    out = np.ones(len(columns[0]), bool)
     out[1:] = False
-    for c in columns:
-        x = rows[c].to_numpy()
+    for x in columns:
         out[1:] |= x[1:] != x[:-1]
     return out
 
 
+def sort_groups(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """``seed, context, low, high`` of whole groups. ``held`` is emptied: contexts are let go once their units stand in columns."""
+    rows = pa.concat_tables(held)
+    held.clear()
+    c, parts = {x: rows[x].to_numpy() for x in rows.column_names if x != "part"}, rows["part"]
+    del rows
+    made = []
+    for k, grain in enumerate(GRAINS):
+        at = np.flatnonzero(c["seed"] & 1 == k)
+        if not len(at):
+            continue
+        new, other = _changes(c["group"][at], c["lo"][at]), _changes(c["seed"][at], c["context"][at])
+        at, new = at[new | other], new[new | other]  # each context once
+        number = np.cumsum(new) - 1
+        several = np.bincount(number)[number] > 1
+        at, number = at[several], number[several]
+        if len(at):
+            made.append((grain, at, number, _matrix(parts, at, c["left"][at], grain)))
+    del parts
+    pa.default_memory_pool().release_unused()
+    while made:
+        grain, at, number, matrix = made.pop()
+        flags = induce(number, *matrix, grain, *([c["first"][at], c["last"][at]] if grain == WORDS else [None, None]))
+        del matrix
+        column = np.arange(grain.reach + 1)
+        for a in range(0, len(at), BATCH):
+            here = at[a : a + BATCH]
+            some = flags[a : a + BATCH] & (column >= c["lo"][here][:, None]) & (column < c["hi"][here][:, None])
+            row, low, high = intervals(some)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["seed"][here][row], c["context"][here][row], low, high)], ["seed", "context", "low", "high"])
+
+
+def sort_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``sort_groups`` over rows in the order of their groups, ``BATCH`` or one group at a time."""
+    held: list[pa.Table] = []  # the last one's last group may go on
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        new = _changes(table["group"].to_numpy(), table["lo"].to_numpy())
+        new[0] = bool(held) and any(held[-1][x][-1].as_py() != table[x][0].as_py() for x in ("group", "lo"))
+        cut = np.flatnonzero(new)
+        if count + table.num_rows >= BATCH and len(cut):
+            held.append(table.slice(0, cut[-1]))
+            table = table.slice(cut[-1])
+            del batch
+            yield from sort_groups(held)
+            count = 0
+        held.append(table)
+        count += table.num_rows
+        table = batch = None
+    if held:
+        yield from sort_groups(held)
+
+
 def sort_contexts(contexts: DataFrame) -> DataFrame:
     """``seed, context, low, high``: columns where repeated strings start, by induced sorting in batches of groups.
 
     Rows ``group, lo, hi, seed, context, left, part, first, last``: a group's strings start in the columns lo to hi - 1.
     """
 
-    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        for k, grain in enumerate(GRAINS):
-            some = rows.filter(pa.array(rows["seed"].to_numpy() & 1 == k))
-            if not some.num_rows:
-                continue
-            new, other = _changes(some, "group", "lo"), _changes(some, "seed", "context")
-            some, new = some.filter(pa.array(new | other)), new[new | other]  # each context once
-            number = np.cumsum(new) - 1
-            several = np.bincount(number)[number] > 1
-            some, number = some.filter(pa.array(several)), number[several]
-            if not some.num_rows:
-                continue
-            c = {x: some[x].to_numpy() for x in some.column_names if x != "part"}
-            docs = [c["first"], c["last"]] if grain == WORDS else [None, None]
-            flags = induce(number, *_matrix(some["part"].combine_chunks(), c["left"], grain), grain, *docs)
-            if c["lo"].any() or (c["hi"] <= grain.reach).any():
-                column = np.arange(grain.reach + 1)
-                flags &= (column >= c["lo"][:, None]) & (column < c["hi"][:, None])
-            at, low, high = intervals(flags)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["seed"][at], c["context"][at], low, high)], ["seed", "context", "low", "high"])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []  # the last one's last group may go on
-        count = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            new = _changes(table, "group", "lo")
-            new[0] = bool(held) and any(held[-1][x][-1].as_py() != table[x][0].as_py() for x in ("group", "lo"))
-            cut = np.flatnonzero(new)
-            if count + table.num_rows >= BATCH and len(cut):
-                yield from solve(pa.concat_tables([*held, table.slice(0, cut[-1])]).combine_chunks())
-                held, count = [], 0
-                table = table.slice(cut[-1])
-            held.append(table)
-            count += table.num_rows
-        if held:
-            yield from solve(pa.concat_tables(held).combine_chunks())
-
-    return contexts.repartition("group", "lo").sortWithinPartitions("group", "lo", "seed", "context").mapInArrow(work, "seed bigint, context bigint, low bigint, high bigint")
+    return contexts.repartition("group", "lo").sortWithinPartitions("group", "lo", "seed", "context").mapInArrow(sort_batches, "seed bigint, context bigint, low bigint, high bigint")
 
 
 def halves(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,6 +323,31 @@ def test_seeds_across_pieces(monkeypatch):
         assert all((a == b).all() for a, b in zip(whole, suffix_dedup.seeds(data[:n]), strict=True)), n
 
 
+def test_contexts_are_let_go(monkeypatch):
+    """Once a group's units stand in columns, the rows they came in take no memory any more; several groups and both grains."""
+    draw = np.random.default_rng(5)
+
+    def batches():
+        for k in range(12):  # groups 0 and 1 over some batches, then small ones
+            group, words_ = np.sort(draw.integers(0, 2, 1000)) + k // 6 * 2, k % 2
+            parts = [draw.integers(97, 99, 720).astype(np.uint8).tobytes() for _ in range(1000)]
+            columns = [group, np.zeros(1000), np.full(1000, 30), np.full(1000, words_), np.arange(1000) + k * 1000, np.full(1000, 39 if words_ else 336), np.zeros(1000), np.ones(1000)]
+            names = ["group", "lo", "hi", "seed", "context", "left", "first", "last"]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int64)) for x in columns], pa.array(parts, pa.binary())], [*names, "part"])
+            del parts, columns
+
+    before, held = pa.total_allocated_bytes(), []
+    monkeypatch.setattr(suffix_dedup, "induce", lambda *a, f=suffix_dedup.induce: held.append(pa.total_allocated_bytes() - before) or f(*a))
+
+    class Frame:
+        repartition = sortWithinPartitions = lambda self, *_: self
+        mapInArrow = lambda self, work, _: work
+
+    for _ in suffix_dedup.sort_contexts(Frame())(batches()):
+        pass
+    assert held and max(held) < 2_500_000  # of 8.6 million bytes; the batch at hand is one of 0.8 million
+
+
 def test_suffix_dedup_long_copies(spark):
     """Copies of a text just beyond a piece go to their last byte."""
     rng = random.Random(12)
